@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, ship
 
 END_ID = 2
 MAX_LEN = 4096
@@ -113,6 +113,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     """
     if max_len & (max_len - 1) or max_len < 1:
         raise ValueError("max_len must be a power of two")
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     out = slim.mapInArrow(_packer(tokenizer or default_tokenizer(), end_id, max_len), f"doc_id {kind}, start long, length long, doc_tokens long, ids binary")

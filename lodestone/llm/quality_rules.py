@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read_table
+from .common import SPACES, read_table, ship
 
 _SYMBOLS = b"#*$%&|<>"
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -113,6 +113,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """
     if len(rules) > 62:
         raise ValueError("at most 62 rules fit one ledger")
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     measured = slim.mapInArrow(_measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
