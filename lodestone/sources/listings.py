@@ -91,8 +91,7 @@ def links_of(html: str | None, base: str | None = "", title_class: str = "cell-t
 _LINKS = "array<struct<pos:int,href:string,url:string,text:string,in_title:boolean,row_text:string>>"
 
 
-@F.pandas_udf(_LINKS)
-def page_links(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _page_links(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for html, base in parts:
         yield pd.Series([links_of(h, b) for h, b in zip(html, base, strict=True)], dtype=object)
 
@@ -100,6 +99,7 @@ def page_links(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def all_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """One row per link of a page: id, pos, href, absolute url, text, in_title, row_text."""
     ship(pages.sparkSession)
+    page_links = F.pandas_udf(_page_links, _LINKS)
     return pages.select(id_col, F.explode(page_links(html_col, url_col)).alias("l")).select(id_col, "l.*")
 
 
