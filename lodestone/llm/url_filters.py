@@ -21,7 +21,7 @@ CONTRACT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("exa
 DEFAULT_VERDICT = "allow"
 #: Urls per bucket of the sweep; a bucket also gets every rule, so it has at least as many urls as there are events.
 BUCKET_ROWS = 500_000
-_AFTER = F.lit(b"\xff")  # above every byte of UTF-8: the end of a prefix interval
+_AFTER = b"\xff"  # above every byte of UTF-8: the end of a prefix interval
 
 
 def ascii_lower(c: Column) -> Column:
@@ -78,7 +78,7 @@ def _path_events(rules: DataFrame) -> DataFrame:
     """(rule_host, pos, kind, rule): from pos on within the host, the rule with the longest path that holds the place."""
     rule = F.struct("host", "path", "verdict").alias("rule")
     begin = rules.select(F.col("host").alias("rule_host"), F.col("path").cast("binary").alias("pos"), F.lit(1).alias("kind"), rule)
-    end = rules.select(F.col("host").alias("rule_host"), F.concat(F.col("path").cast("binary"), _AFTER).alias("pos"), F.lit(0).alias("kind"), rule)
+    end = rules.select(F.col("host").alias("rule_host"), F.concat(F.col("path").cast("binary"), F.lit(_AFTER)).alias("pos"), F.lit(0).alias("kind"), rule)
     return _swept(begin.unionByName(end), "rule", ["rule_host"]).select("rule_host", "pos", "kind", F.col("top").alias("rule"))
 
 
