@@ -75,8 +75,8 @@ def listing_number(text: Column) -> Column:
 
 
 def digits(c: Column) -> Column:
-    """Digits alone, for comparing issue numbers that are written in different ways."""
-    return F.regexp_replace(c, "[^0-9]+", " ")
+    """Runs of digits, one space between them, for comparing issue numbers that are written in different ways."""
+    return F.trim(F.regexp_replace(c, "[^0-9]+", " "))
 
 
 def find_number(raw: Column, pattern: str = S.NOTICE_NUMBER) -> Column:

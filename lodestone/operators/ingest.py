@@ -5,6 +5,8 @@ Every step is a column; what goes wrong in a row becomes its failure reason and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +54,21 @@ def extraction_failure(wrapper: Column, items: Column) -> Column:
 
 def answers(segments: DataFrame, model: Model) -> DataFrame:
     """Add what the model says of each notice: category, wrapper, items, narrative (JSON texts)."""
-    out = segments.withColumn("category", clean_category(model.triage(F.col("notice_text"))))
-    out = out.withColumn("wrapper", jsonfix.safe_object(model.extract(F.col("notice_text"), F.col("category"))))
+    out = _asked(segments, "category", model.triage(F.col("notice_text")), clean_category)
+    out = _asked(out, "wrapper", model.extract(F.col("notice_text"), F.col("category")), jsonfix.safe_object)
     out = out.withColumn("items", F.get_json_object("wrapper", "$.items"))
     out = out.withColumn("reason", extraction_failure(F.col("wrapper"), F.col("items")))
-    return out.withColumn("narrative", F.when(F.col("reason").isNull(), jsonfix.safe_object(model.narrate(F.col("items"), F.col("category")))))
+    return _narrated(out, model)
+
+
+def _asked(rows: DataFrame, name: str, answer: Column, clean: Callable[[Column], Column]) -> DataFrame:
+    """A model's answer in a column of its own, and then cleaned: it is asked for once, however often the cleaning names it."""
+    return rows.withColumn("__answer", answer).withColumn(name, clean(F.col("__answer"))).drop("__answer")
+
+
+def _narrated(rows: DataFrame, model: Model) -> DataFrame:
+    told = _asked(rows, "narrative", model.narrate(F.col("items"), F.col("category")), jsonfix.safe_object)
+    return told.withColumn("narrative", F.when(F.col("reason").isNull(), F.col("narrative")))
 
 
 def assemble(rows: DataFrame, run_date: str, run_ts: str) -> DataFrame:
@@ -136,8 +148,9 @@ def ingest(docs: DataFrame, run_date: str, run_ts: str, model: Model | None = No
     A document with null text gives no rows. With a model that is not deterministic, write the result before using it twice.
     """
     model = model or StubModel()
-    headed = docs.withColumn("__h", F.when(~text.is_blank(F.col("text")), jsonfix.safe_object(model.header(F.col("text")))))
-    headed = headed.withColumns(header_fields(F.col("__h"))).drop("__h")
+    headed = _asked(docs, "__h", model.header(F.col("text")), jsonfix.safe_object)
+    header = F.when(~text.is_blank(F.col("text")), F.col("__h"))
+    headed = headed.withColumns(header_fields(header)).drop("__h")
     return checked(assemble(answers(segment(headed, marker=marker), model), run_date, run_ts))
 
 
@@ -155,8 +168,7 @@ def regenerate(failed: DataFrame, run_date: str, run_ts: str, model: Model | Non
     joined = rows.join(again, "id")
     have = F.col("extracted").isNotNull()
     merged = joined.select("id", "notice_text", "source_order", "gazette_volume", "gazette_number", "gazette_date", "original_pdf_path", F.when(have, F.col("old")).otherwise(F.col("__c")).alias("category"), F.coalesce("extracted", "__i").alias("items"), F.when(~have, F.col("__r")).alias("reason"))
-    told = merged.withColumn("narrative", F.when(F.col("reason").isNull(), jsonfix.safe_object(model.narrate(F.col("items"), F.col("category")))))
-    return assemble(told, run_date, run_ts)
+    return assemble(_narrated(merged, model), run_date, run_ts)
 
 
 def retry(notices: DataFrame, run_date: str, run_ts: str, model: Model | None = None) -> DataFrame:
