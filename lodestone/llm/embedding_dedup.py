@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, written
+from .common import read_table, ship, slices, written
 from .graph import components
 
 THRESHOLD = 0.9
@@ -61,7 +61,7 @@ def _assigner(shared):
 
         centres: dict[int, np.ndarray] = shared.value
         first_cell = dict(zip(sorted(centres), np.cumsum([0, *(len(centres[d]) for d in sorted(centres))]).tolist()))
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(1).to_pylist()
             n = len(rows)
             unit, cell, guests, h1, h2 = [None] * n, [None] * n, [None] * n, [None] * n, [None] * n

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship
+from .common import read_table, ship, slices
 
 ORDER = 4
 #: The bound of the training sample: so many documents of each language, and so many characters of each.
@@ -27,7 +27,7 @@ SAMPLE_DOCS = 300
 SAMPLE_CHARS = 2000
 UNKNOWN = "und"
 _SLOTS = 1 << 19
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _PAD = b"\n" * ORDER
 
 
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             lang, score, rate = mine.predict(batch.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*names, "lang_pred", "lang_score", "lang_bits"])
 

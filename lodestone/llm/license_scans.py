@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship
+from .common import read_table, ship, slices
 
 #: license -> (template, key words of which a stretch must hold one)
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1)
             rows, at = [], []
             for k, text in enumerate(texts):

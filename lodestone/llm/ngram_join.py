@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import read_table, ship, written
+from .common import read_table, ship, slices, written
 from .graph import components
 
 SHINGLE = 5
@@ -32,7 +32,7 @@ BLOCK = 256
 LEADERS = 8
 #: Documents in clusters whose ids are broadcast (16 bytes each) to pick their texts; beyond that they are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(0, 2**31, ROWS * BANDS, np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -93,7 +93,7 @@ _shingler = Shingler()
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    for batch in batches:
+    for batch in slices(batches):
         n, h1, h2, keys = [], [], [], []
         for text in batch.column(1).cast(pa.binary()):
             s = _shingler.shingles(text.as_py())
@@ -108,7 +108,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the text in the last column by its shingles, as bytes of unsigned 64-bit integers."""
-    for batch in batches:
+    for batch in slices(batches):
         out = [_shingler.shingles(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
@@ -172,7 +172,7 @@ def _join_bin(table: pa.Table) -> pa.Table:
 
 
 def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         good = [enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))

@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship
+from .common import read_table, ship, slices
 
 END_ID = 2
 MAX_LEN = 4096
-#: Words, and stems, that a Python worker remembers in each of two generations: some 200 MB in all.
-_WORDS_KEPT = 300_000
-_FLUSH_BYTES = 8 << 20
+#: Words, and stems, that a Python worker remembers in each of two generations: some 150 MB in all.
+_WORDS_KEPT = 200_000
+_FLUSH_BYTES = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -117,7 +117,7 @@ def _packer(path: str, end_id: int, max_len: int):
         if (path, end_id) not in _encoders:
             _encoders[path, end_id] = WordEncoder(path, end_id)
         encoder = _encoders[path, end_id]
-        for batch in batches:
+        for batch in slices(batches):
             kind, ids, rows, held = batch.schema.field(0).type, [], [[], [], [], []], 0
 
             def flush(kind=kind):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read_table, ship
+from .common import SPACES, read_table, ship, slices
 
 _SYMBOLS = b"#*$%&|<>"
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -99,7 +99,7 @@ def repeat_words(seq: np.ndarray, vocabulary: int) -> int:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [measure(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         cols = np.array(rows, np.int64).reshape(len(rows), len(MEASURES)).T
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in cols)], names=["doc_id", *MEASURES])
