@@ -24,7 +24,7 @@ from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
-ROWS, BANDS = 6, 70
+ROWS, BANDS = 5, 53
 #: Bits of the hashed bitmap.
 BITS = 4096
 #: Sets per block, and sets of a cluster that stand in each of its blocks so that blocks join up.
