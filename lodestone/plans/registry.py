@@ -278,3 +278,111 @@ def _retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _put("p10_retry", _retry, f"{SAMPLE_SQL}SELECT id, CASE WHEN status = 'SUCCESS' THEN title WHEN id % 2 = 0 THEN category || ' notice' ELSE 'Miscellaneous notice' END AS title, 'SUCCESS' AS status, gazette_number FROM notices")
+
+
+# ---- archive pages, made in the shape of listings from the ids of the test pages
+
+
+def _archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    row = lambda n, day: F.concat(F.lit('<tr><td class="cell-title"><a href="/akn/ke/officialGazette/'), n, F.lit('">Kenya Gazette No. '), n, F.lit("</a></td><td>"), day, F.lit(" November 2025</td></tr>"))
+    day = (F.col("page_id") % 28 + 1).cast("string")
+    html = F.concat(F.lit("<table>"), row(i, day), row(F.lit("0"), F.lit("1")), F.lit('</table><a href="get/'), i, F.lit('.pdf">Download PDF</a>'))
+    return _table(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.lit("https://law.example.org/list/2025").alias("url"))
+
+
+_put(
+    "s4_latest_listing",
+    lambda s, d: listings.latest_listing(_archive_pages(s, d)).select("page_id", "url", "gazette_number"),
+    "SELECT page_id, 'https://law.example.org/akn/ke/officialGazette/' || page_id AS url, 'No. ' || page_id AS gazette_number FROM pages",
+)
+_put("s5_row_date", lambda s, d: listings.latest_listing(_archive_pages(s, d)).select("page_id", "gazette_date"), "SELECT page_id, DATE '2025-11-01' + (page_id % 28)::INT AS gazette_date FROM pages")
+_put("s4_download_link", lambda s, d: listings.download_link(_archive_pages(s, d)), "SELECT page_id, 'https://law.example.org/list/get/' || page_id || '.pdf' AS url FROM pages")
+_put(
+    "s4_content_type",
+    lambda s, d: _table(s, d, "pages").select("page_id", listings.is_pdf(F.when(F.col("page_id") % 2 == 0, "application/pdf; x").when(F.col("page_id") % 3 == 0, "text/html")).alias("pdf")),
+    "SELECT page_id, page_id % 2 = 0 AS pdf FROM pages",
+)
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The better of two texts of a file: the vision text of page 1 and the rest, or the plain text where that is blank."""
+    from lodestone.sources.files import high_fidelity
+
+    vision = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).when(F.col("doc_id") % 3 == 1, " ")
+    best = high_fidelity(vision, F.lit("rest"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.when(text.is_blank(best), F.col("text")).otherwise(best).cast("binary")).alias("digest"))
+
+
+_put("s3_text_fallback", _texts, "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 AND regexp_matches(substr(text, 1, 20), '[^\\s\\pZ]') THEN substr(text, 1, 20) || chr(10) || chr(10) || 'rest' ELSE text END) AS digest FROM documents")
+
+
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    header = F.when(i % 3 == 0, F.concat(F.lit('{"gazetteVolume": "Vol. I", "gazetteNumber": "No. '), i.cast("string"), F.lit('", "gazetteDate": "2024-03-05"}'))).when(i % 3 == 1, '{"gazetteDate": "5th March", "gazetteNumber": null}')
+    return _table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in ingest.header_fields(header).items()))
+
+
+_put(
+    "p3_header_fields",
+    _headers,
+    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Vol. I' WHEN 1 THEN '' END AS gazette_volume, CASE doc_id % 3 WHEN 0 THEN 'No. ' || doc_id WHEN 1 THEN '' END AS gazette_number, CASE WHEN doc_id % 3 = 0 THEN DATE '2024-03-05' END AS gazette_date FROM documents",
+)
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assembly of rows with a narrative, without one, and with a reason."""
+    i = F.col("doc_id")
+    items = F.concat(F.lit('[{"reference_number": "R'), i.cast("string"), F.lit('", "effective_date": "2024-02-03"}]'))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.col("text").alias("notice_text"),
+        F.lit(1).alias("source_order"),
+        F.lit("Vol. I").alias("gazette_volume"),
+        F.lit("No. 1").alias("gazette_number"),
+        F.lit("2024-01-01").cast("date").alias("gazette_date"),
+        F.lit("/p.pdf").alias("original_pdf_path"),
+        F.lit("Tenders").alias("category"),
+        items.alias("items"),
+        F.when(i % 3 == 2, S.REASON_NO_ITEMS).alias("reason"),
+        F.when(i % 3 == 0, F.lit('{"title": "T", "significance": 9}')).alias("narrative"),
+    )
+    done = ingest.assemble(rows, "2025-01-01", "2025-01-01 00:00:00")
+    return done.select("doc_id", "title", "category", "notice_number", "summary", "x_summary", "actionable_info", "published_date", "status", "significance_rating", F.md5(F.col("article").cast("binary")).alias("article"))
+
+
+_ITEMS = """'[{"reference_number": "R' || doc_id || '", "effective_date": "2024-02-03"}]'"""
+_put(
+    "p8_assemble",
+    _assembled,
+    f"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'T' WHEN 1 THEN '[GENERATION FAILED] Tenders Notice (Review Extracted Data)' ELSE '[PROCESSING FAILED] Review Needed' END AS title,
+CASE WHEN doc_id % 3 = 2 THEN 'Uncategorized' ELSE 'Tenders' END AS category, CASE WHEN doc_id % 3 <> 2 THEN 'R' || doc_id END AS notice_number,
+CASE doc_id % 3 WHEN 0 THEN 'No summary provided.' WHEN 1 THEN 'AI failed to generate summary. Review extracted data below.' ELSE 'The AI failed during processing. Reason: Extraction failed: no ''items'' wrapper' END AS summary,
+CASE WHEN doc_id % 3 = 2 THEN 'Processing error. Needs manual review.' ELSE '' END AS x_summary, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Review needed' END AS actionable_info,
+CASE WHEN doc_id % 3 = 2 THEN DATE '2025-01-01' ELSE DATE '2024-02-03' END AS published_date, CASE WHEN doc_id % 3 = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE doc_id % 3 WHEN 0 THEN 9 WHEN 1 THEN 3 ELSE 0 END::INT AS significance_rating,
+md5(CASE doc_id % 3 WHEN 0 THEN {_ITEMS} WHEN 1 THEN '## Extracted Data (Generation Failed):' || chr(10) || chr(10) || '```json' || chr(10) || {_ITEMS} || chr(10) || '```' ELSE '## AI PROCESSING FAILED' || chr(10) || chr(10) || '**Reason:** Extraction failed: no ''items'' wrapper' || chr(10) || chr(10) || 'The original text has been saved. You can try to fix it manually or use the ''Retry FAILED Notices'' button.' END) AS article FROM documents""",
+)
+_put("p7_narrative", lambda s, d: _narratives(s, d), "SELECT doc_id, 'Tenders notice' AS title, substr(text, 1, 40) AS summary FROM documents")
+
+
+def _narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.operators.model import StubModel
+
+    items = F.to_json(F.struct(F.substring("text", 1, 40).alias("brief_text")))
+    told = StubModel().narrate(items, F.lit("Tenders"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(told, "$.title").alias("title"), F.get_json_object(told, "$.summary").alias("summary"))
+
+
+def _item_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items read into the structure of their category, whether one object or an array was given."""
+    from pyspark.sql.types import ArrayType
+
+    i = F.col("doc_id")
+    one = F.concat(F.lit('{"court_name": "C'), i.cast("string"), F.lit('", "parties": ["a", "b"]}'))
+    given = F.when(i % 2 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one)
+    read = F.from_json(jsonfix.items_array(given), ArrayType(S.ITEMS["Court_Legal"]))
+    return _table(spark, sf_dir, "documents").select("doc_id", read[0]["court_name"].alias("court_name"), F.size(read[0]["parties"]).alias("parties"))
+
+
+_put("s9_item_structs", _item_structs, "SELECT doc_id, 'C' || doc_id AS court_name, 2 AS parties FROM documents")
+_put("c1_categories", lambda s, d: s.createDataFrame([(k, v) for k, v in S.CATEGORIES.items()], "category string, description string"), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in S.CATEGORIES.items()) + ") t(category, description)")
