@@ -146,3 +146,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract rows: the base measurements, ``base_failed`` from the two base rules, ``kept`` from the policy ``web/1``."""
     led = ledger(read_table(spark, sf_dir, "documents"))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(F.col("failed"), "base/1")).alias("base_failed"), (passes(F.col("failed"), "base/1") & passes(F.col("failed"), "web/1")).alias("kept"), "failed")
+
+
+def _sql_bits(rules: tuple[Rule, ...] = RULES) -> str:
+    return " + ".join(f"CASE WHEN {r.fails} THEN {1 << k} ELSE 0 END" for k, r in enumerate(rules))
+
+
+OP2_ORACLE = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM t),
+v AS (SELECT *, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w),
+r AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS again FROM v),
+k AS (SELECT doc_id, again OR coalesce(lag(again, 1) OVER p, false) OR coalesce(lag(again, 2) OVER p, false) AS hit FROM r WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, count_if(hit)::BIGINT AS n_repeat_words FROM k GROUP BY doc_id),
+m AS (SELECT t.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS n_letter_bytes,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, len(list_filter(ws, lambda x: x IN ('|', '/', '>'))) AS n_bar_words FROM t LEFT JOIN n USING (doc_id)),
+f AS (SELECT *, ({_sql_bits()})::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {mask_of(POLICIES["base/1"])} <> 0 AS base_failed, failed & {mask_of(POLICIES["web/1"])} = 0 AS kept, failed FROM f
+"""

@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.OP1_ORACLE,
+    "op2_quality_rules": quality_rules.OP2_ORACLE,
     "op6_line_dedup": line_dedup.OP6_ORACLE,
 }
