@@ -167,7 +167,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         sample.setdefault(len(r["v"]), []).append(r["v"])
     centres = spark.sparkContext.broadcast(fit({d: _units(v) for d, v in sample.items()}, cells))
 
-    units = slim.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_assigner(centres), "vec_id long, h1 long, h2 long, unit binary, cell int, guests array<int>")
+    units = slim.mapInArrow(_assigner(centres), "vec_id long, h1 long, h2 long, unit binary, cell int, guests array<int>")
     units = written(units, "units")
     folded = units.where("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("unit").alias("unit"), F.first("cell").alias("home"), F.first("guests").alias("guests"))
     reps = written(folded, "vectors")
