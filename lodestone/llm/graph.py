@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two aggregations and two joins on edges; only counts and checksums come to the driver. A node with very many
-edges is one key of a plain join, which AQE splits, and of a minimum, which is combined before the shuffle.
+Each round is two aggregations and two joins on edges; only counts and checksums come to the driver. A node may have very
+many edges: minima are combined before the shuffle, and the joins are salted by the other end of an edge.
 """
 
 from __future__ import annotations
@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Parts into which the edges of a node are dealt for a join; the other side, one row per node, is copied to each.
+SALTS = 16
+
+
+def _joined(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [node, "salt"]).drop("salt")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).withColumnsRenamed({"hi": "u", "lo": "v"})
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+    return _joined(both.where("v > u"), least, "u", "v").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    moved = _joined(edges, least, "hi", "lo").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(least.withColumnRenamed("m", "lo")).distinct()
 
 
