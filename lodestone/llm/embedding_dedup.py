@@ -41,8 +41,10 @@ def fit(sample: dict[int, np.ndarray], cells: dict[int, int], seed: int = 5) ->
         r = np.random.default_rng(seed)
         c = x[r.permutation(len(x))[: max(1, cells[dim])]].copy()
         for _ in range(ROUNDS):
-            p = x @ c.T
-            at, best = p.argmax(axis=1), p.max(axis=1)
+            at, best = np.empty(len(x), np.int64), np.empty(len(x))
+            for lo in range(0, len(x), 2048):  # the driver never holds all products at once
+                p = x[lo : lo + 2048] @ c.T
+                at[lo : lo + 2048], best[lo : lo + 2048] = p.argmax(axis=1), p.max(axis=1)
             sums = np.zeros_like(c)
             np.add.at(sums, at, x)
             norm = np.linalg.norm(sums, axis=1)
@@ -53,6 +55,16 @@ def fit(sample: dict[int, np.ndarray], cells: dict[int, int], seed: int = 5) ->
     return out
 
 
+def _nearest(p: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest numbers of each row, largest first."""
+    if p.shape[1] > k:
+        top = np.argpartition(-p, k - 1, axis=1)[:, :k]
+    else:
+        top = np.tile(np.arange(p.shape[1]), (len(p), 1))
+    order = np.argsort(-np.take_along_axis(p, top, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(top, order, axis=1)
+
+
 def _assigner(shared):
     names = ["vec_id", "h1", "h2", "unit", "cell", "guests"]
 
@@ -78,7 +90,7 @@ def _assigner(shared):
                 u = _units(x)
                 c = centres.get(dim)
                 p = u @ c.T if c is not None else np.ones((len(u), 1))
-                near = np.argsort(-p, axis=1, kind="stable")[:, : GUESTS + 1]
+                near = _nearest(p, GUESTS + 1)
                 base = first_cell.get(dim, -dim)
                 for k, raw, one, cells in zip(at, x, u, near + base, strict=True):
                     d = xxhash.xxh3_128_intdigest((raw + 0.0).tobytes())
