@@ -7,6 +7,7 @@ own, so no sequence crosses documents and none needs padding.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -18,8 +19,8 @@ from .common import read_table, ship, slices
 
 END_ID = 2
 MAX_LEN = 4096
-#: Words, and stems, that a Python worker remembers in each of two generations: some 150 MB in all.
-_WORDS_KEPT = 200_000
+#: Stems that a Python worker remembers in each of two generations: some 120 MB in all.
+_STEMS_KEPT = 300_000
 _FLUSH_BYTES = 2 << 20
 
 
@@ -39,25 +40,36 @@ def pieces(n: int, max_len: int = MAX_LEN) -> list[tuple[int, int]]:
     return out
 
 
+#: Lower-case letters below this are their own normal form and their own lower case.
+LATIN_END = "\u0250"
+_ID = struct.Struct("<I").pack
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 class Remembered:
     """A look-up table of bounded size in two generations: a full young one becomes the old one, and what is used returns."""
 
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """Make room, bring back the keys that the old generation knows, and return those that none knows."""
+    def missing(self, keys: list[bytes]) -> list[bytes]:
+        """Make room, bring back the keys that the old generation knows, and return those that none knows, each once."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                known = old.get(k)
-                if known is None:
-                    out.append(k)
-                else:
-                    young[k] = known
-        return out
+        young, old = self.young, self.old
+        new = set(keys).difference(young)
+        back = {k: old[k] for k in new if k in old}
+        young.update(back)
+        return [k for k in new if k not in back]
 
 
 class WordEncoder:
@@ -65,43 +77,42 @@ class WordEncoder:
 
     The vocabulary drops white space and cuts at it, so the ids of a text are those of its words one after the other; and
     where a word ends in ASCII marks after an ASCII letter or digit, the tokenizer cuts there too. It lowers case, so A-Z may
-    be lowered first, except where a special token could be spelled. Words and stems are encoded once and looked up after
-    that, in tables whose size changes speed and nothing else.
+    be lowered first, except where a special token could be spelled. Stems are encoded once and looked up after
+    that, in a table whose size changes speed and nothing else. A stem of lower-case Latin letters is in normal form and is
+    not cut any further, so it goes to the merges of the model without the steps before them.
     """
 
-    #: ASCII marks without the apostrophe, which may begin a contraction.
-    MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
-    CUT = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    #: ASCII marks (without the apostrophe, which may begin a contraction) between a letter or digit and the end of a word.
+    MARKS = re.compile(rb"(?<=[a-zA-Z0-9])([!-&(-/:-@\[-`{-~]+)(?=[\x20\x09-\x0D]|\Z)")
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = struct.pack("<I", end_id)
-        self.words, self.stems = Remembered(_WORDS_KEPT), Remembered(_WORDS_KEPT)
+        self.stems = Remembered(_STEMS_KEPT)
 
     def encode(self, text: bytes | None) -> bytes:
         text = text or b""
-        words = (text if b"<|" in text else text.lower()).split()
-        new = self.words.missing(set(words))
+        words = (text if b"<|" in text else self.MARKS.sub(rb" \1", text.lower())).split()
+        new = self.stems.missing(words)
         if new:
             self._learn(new)
-        return b"".join(map(self.words.young.__getitem__, words)) + self.end
-
-    def _learn(self, words: list[bytes]) -> None:
-        parts = {}
-        for w in words:
-            stem = w.rstrip(self.MARKS)
-            parts[w] = (stem, w[len(stem) :]) if len(stem) < len(w) and stem and stem[-1] in self.CUT and b"<|" not in w else (w, b"")
-        new = self.stems.missing({x for p in parts.values() for x in p if x})
+        return b"".join(map(self.stems.young.__getitem__, words)) + self.end
+
+    def _learn(self, stems: list[bytes]) -> None:
+        new, young, tokenize = [], self.stems.young, self.tokenizer.model.tokenize
+        for x in stems:
+            s = x.decode()
+            if s.isalpha() and s.islower() and max(s) < LATIN_END:
+                young[x] = b"".join([_ID(t.id) for t in tokenize(x.decode("latin-1").translate(BYTE_CHARS))])
+            else:
+                new.append(x)
         for at in range(0, len(new), 10_000):
             chunk = new[at : at + 10_000]
             for x, e in zip(chunk, self.tokenizer.encode_batch_fast([x.decode() for x in chunk], add_special_tokens=False), strict=True):
                 ids = e.ids
-                self.stems.young[x] = struct.pack(f"<{len(ids)}I", *ids)
-        known, out = self.stems.young, self.words.young
-        for w, (stem, marks) in parts.items():
-            out[w] = known[stem] + known[marks] if marks else known[stem]
+                young[x] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[tuple[str, int], WordEncoder] = {}
