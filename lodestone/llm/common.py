@@ -20,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as bytes, for ``bytes.translate``; ``bytes.split()`` cuts at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 
+BATCH_BYTES = "4m"
+_DEFAULT_BATCH = "67108864b"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -43,7 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per context; they may not have it on their path."""
+    """Give the executors' Python workers this package, once per context; they may not have it on their path.
+
+    Arrow batches of this session are also kept to ``BATCH_BYTES`` where nobody has set a size: a batch stands in an
+    executor's memory outside of the heap, several times over while it grows.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if not getattr(sc, "_lodestone_shipped", False):
         root = Path(__file__).resolve().parents[1]
