@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Parts into which the edges of a node are dealt for a join; the other side, one row per node, is copied to each.
-SALTS = 16
+#: Parts into which the edges of a node are dealt for a join; the other side, one row per node, is copied to each. AQE splits
+#: a part that is still too large: both sides are shuffled for this join alone.
+SALTS = 2
 
 
 def _joined(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
