@@ -1,8 +1,12 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative per group.
 
 Exact copies of a vector are first folded into one row with a count. Each row has a home cell (its nearest centre) and is a
-guest in its next nearest cells, so that close vectors on two sides of a border meet. Cells are cut into blocks of bounded
-size; a task multiplies two blocks, so a cell of any size is spread over many tasks.
+guest in every cell that can be the home of a partner, so that close vectors on two sides of a border meet. Cells are cut into
+blocks of bounded size; a task multiplies two blocks, so a cell of any size is spread over many tasks.
+
+Which cells those are is exact. Take a linked pair with homes A and B, and n the unit vector along B's centre less A's: one
+vector lies on each side of the border, and as they are at most sqrt(2 - 2 t) apart, one of them is within sqrt((1 - t) / 2)
+of it. So a vector is a guest of each cell whose border with its home is that near.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ THRESHOLD = 0.9
 CELL_ROWS = 512
 MAX_CELLS = 4096
 SAMPLE_PER_CELL = 16
-GUESTS = 3
+#: What rounding may add to a distance from a border.
+SLACK = 1e-7
 BLOCK = 1024
 ROUNDS = 8
 
@@ -55,28 +60,35 @@ def fit(sample: dict[int, np.ndarray], cells: dict[int, int], seed: int = 5) ->
     return out
 
 
-def _nearest(p: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest numbers of each row, largest first."""
-    if p.shape[1] > k:
-        top = np.argpartition(-p, k - 1, axis=1)[:, :k]
-    else:
-        top = np.tile(np.arange(p.shape[1]), (len(p), 1))
-    order = np.argsort(-np.take_along_axis(p, top, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(top, order, axis=1)
+def _seats(u: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row, and a boolean matrix of the other cells of which it is a guest."""
+    p = u @ c.T
+    row = np.arange(len(u))
+    home = p.argmax(axis=1)
+    norm = (c * c).sum(axis=1)
+    apart = np.sqrt(np.maximum(norm[home][:, None] + norm - 2 * (c[home] @ c.T), 0))
+    guest = p[row, home][:, None] - p <= reach * apart + SLACK
+    guest[row, home] = False
+    return home, guest
+
+
+def _first_cells(centres: dict[int, np.ndarray]) -> dict[int, int]:
+    return dict(zip(sorted(centres), np.cumsum([0, *(len(centres[d]) for d in sorted(centres))]).tolist()))
 
 
-def _assigner(shared):
-    names = ["vec_id", "h1", "h2", "unit", "cell", "guests"]
+def _assigner(shared, threshold: float):
+    names = ["vec_id", "h1", "h2", "unit", "cell", "guests", "seats"]
+    reach = float(np.sqrt(max(0.0, 1 - threshold) / 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         centres: dict[int, np.ndarray] = shared.value
-        first_cell = dict(zip(sorted(centres), np.cumsum([0, *(len(centres[d]) for d in sorted(centres))]).tolist()))
+        first_cell = _first_cells(centres)
         for batch in slices(batches):
             rows = batch.column(1).to_pylist()
             n = len(rows)
-            unit, cell, guests, h1, h2 = [None] * n, [None] * n, [None] * n, [None] * n, [None] * n
+            unit, cell, guests, seats, h1, h2 = [None] * n, [None] * n, [None] * n, [None] * n, [None] * n, [None] * n
             by_dim: dict[int, list[int]] = {}
             for k, v in enumerate(rows):
                 if v and None not in v:
@@ -89,14 +101,14 @@ def _assigner(shared):
                     continue
                 u = _units(x)
                 c = centres.get(dim)
-                p = u @ c.T if c is not None else np.ones((len(u), 1))
-                near = _nearest(p, GUESTS + 1)
+                home, guest = _seats(u, c, reach) if c is not None else (np.zeros(len(u), np.int64), np.zeros((len(u), 1), bool))
                 base = first_cell.get(dim, -dim)
-                for k, raw, one, cells in zip(at, x, u, near + base, strict=True):
+                for k, raw, one, own, others in zip(at, x, u, home + base, guest, strict=True):
                     d = xxhash.xxh3_128_intdigest((raw + 0.0).tobytes())
                     h1[k], h2[k] = (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63
-                    unit[k], cell[k], guests[k] = one.tobytes(), int(cells[0]), cells[1:].tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(unit, pa.binary()), pa.array(cell, pa.int32()), pa.array(guests, pa.list_(pa.int32()))], names=names)
+                    unit[k], cell[k] = one.tobytes(), int(own)
+                    guests[k], seats[k] = (np.flatnonzero(others) + base).tolist(), np.packbits(others).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(unit, pa.binary()), pa.array(cell, pa.int32()), pa.array(guests, pa.list_(pa.int32())), pa.array(seats, pa.binary())], names=names)
 
     return run
 
@@ -124,7 +136,7 @@ def _linked(node: np.ndarray, links: np.ndarray, group: np.ndarray) -> tuple[np.
     return node[order], links[order], root
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, first_cell: dict[int, int]):
     """Links within one task: a block with itself, two blocks of a cell, or a block and a block of guests."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -132,7 +144,6 @@ def _compare(threshold: float):
         mult, cell, side = table["mult"].to_numpy(), table["cell"].to_numpy(), table["side"].to_numpy()
         x = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(len(node), -1)
         home = table["home"].to_numpy()
-        guests = np.array([(g + [-(2**31)] * GUESTS)[:GUESTS] for g in table["guests"].to_pylist()], np.int64).reshape(len(node), GUESTS)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         near = np.zeros((len(node), len(node)), bool)
         if len(b):
@@ -140,8 +151,12 @@ def _compare(threshold: float):
             # a guest and a host that are guests of each other meet twice: only the smaller cell counts them
             i, j = np.nonzero(hit)
             other = home[b[j]]
-            twice = (other != cell[0]) & (guests[a[i]] == other[:, None]).any(axis=1) & (cell[0] > other)
-            hit[i[twice], j[twice]] = False
+            i, j, other = i[other < cell[0]], j[other < cell[0]], other[other < cell[0]]
+            if len(i):
+                held = np.frombuffer(b"".join(table["seats"].take(pa.array(a)).to_pylist()), np.uint8).reshape(len(a), -1)
+                at = other - first_cell[x.shape[1]]
+                twice = (held[i, at >> 3] >> (7 - (at & 7))) & 1 == 1
+                hit[i[twice], j[twice]] = False
             near[np.ix_(a, b)] = hit
             near |= near.T
         else:
@@ -157,9 +172,8 @@ def _compare(threshold: float):
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
-    Two vectors link at a cosine of ``threshold`` or more in double precision; every link reported is exact, and those missed
-    lie between vectors of which neither is among the other's ``GUESTS`` + 1 nearest cells. n_links counts other rows linked
-    directly, component_id is the smallest id reachable, kept marks the one representative of a group. Vectors that are null,
+    Two vectors link at a cosine of ``threshold`` or more in double precision; every link is found, and each is exact. n_links
+    counts other rows linked directly, component_id is the smallest id reachable, kept marks the one representative of a group. Vectors that are null,
     empty, zero or hold a null or a component that is not finite link with nothing, as do rows with a null id (component_id
     null, kept true) and vectors of different lengths. Repeated rows are linked rows; rows that share an id are one node. An
     empty table gives no rows. Other columns are not read. Centres are fitted on a bounded sample of ids, chosen by hash.
@@ -177,15 +191,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     usable = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     for r in slim.where(chosen & usable).orderBy("vec_id").collect() if dims else []:
         sample.setdefault(len(r["v"]), []).append(r["v"])
-    centres = spark.sparkContext.broadcast(fit({d: _units(v) for d, v in sample.items()}, cells))
+    fitted = fit({d: _units(v) for d, v in sample.items()}, cells)
+    centres = spark.sparkContext.broadcast(fitted)
 
-    units = slim.mapInArrow(_assigner(centres), "vec_id long, h1 long, h2 long, unit binary, cell int, guests array<int>")
+    units = slim.mapInArrow(_assigner(centres, threshold), "vec_id long, h1 long, h2 long, unit binary, cell int, guests array<int>, seats binary")
     units = written(units, "units")
-    folded = units.where("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("unit").alias("unit"), F.first("cell").alias("home"), F.first("guests").alias("guests"))
-    reps = written(folded, "vectors")
+    folded = units.where("h1 is not null and vec_id is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"), F.first("unit").alias("unit"), F.first(F.struct("cell", "guests", "seats")).alias("place"))
+    reps = written(folded.select("h1", "h2", "node", "mult", "unit", F.col("place.cell").alias("home"), "place.guests", "place.seats"), "vectors")
 
-    host = reps.select("node", "mult", "unit", "home", "guests", F.col("home").alias("cell"), F.lit(0).alias("side"))
-    guest = reps.select("node", "mult", "unit", "home", "guests", F.explode("guests").alias("cell"), F.lit(1).alias("side"))
+    host = reps.select("node", "mult", "unit", "home", "seats", F.col("home").alias("cell"), F.lit(0).alias("side"))
+    guest = reps.select("node", "mult", "unit", "home", F.lit(None).cast("binary").alias("seats"), F.explode("guests").alias("cell"), F.lit(1).alias("side"))
     counts = host.select("cell", "side").unionByName(guest.select("cell", "side")).groupBy("cell").agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK).cast("int").alias("hosts"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK).cast("int").alias("visitors"))
     # one row per cell, and there are at most MAX_CELLS for each of at most 8 lengths, plus one for each rare length
     sized = F.broadcast(counts) if len(dims) < 8 else counts
@@ -197,8 +212,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     as_data = F.transform(F.sequence(F.lit(0), F.col("hosts") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")))
     of_host = F.concat(as_query, F.filter(as_data, lambda t: t["i"] < t["j"]))
     of_guest = F.transform(F.sequence(F.lit(0), F.col("hosts") - 1), lambda i: F.struct(i.alias("i"), (F.col("hosts") + F.col("block")).alias("j"), F.lit(1).alias("side")))
-    tasks = placed.withColumn("t", F.explode(F.when(F.col("side") == 0, of_host).otherwise(of_guest))).select("cell", "t.i", "t.j", "t.side", "node", "mult", "unit", "home", "guests")
-    found = tasks.groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "node long, links long, root long")
+    tasks = placed.withColumn("t", F.explode(F.when(F.col("side") == 0, of_host).otherwise(of_guest))).select("cell", "t.i", "t.j", "t.side", "node", "mult", "unit", "home", "seats")
+    found = tasks.groupBy("cell", "i", "j").applyInArrow(_compare(threshold, _first_cells(fitted)), "node long, links long, root long")
     found = written(found, "links")
 
     groups = components(found, "node", "root")

@@ -178,6 +178,21 @@ def test_embedding_recall(spark):
     assert 0.99 * true <= found <= true
 
 
+def test_embedding_links_over_many_cells(spark):
+    """Vectors without clusters, each with a partner just over the threshold, in 300 cells: no link is lost or counted twice."""
+    r = np.random.default_rng(10)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = r.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cos = r.uniform(0.901, 0.92, (len(x), 1))
+    both = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * away])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, cell_rows=20).collect()}
+    assert got == {i: (1, i % len(x)) for i in range(len(both))}
+
+
 # ---- pipeline
 
 
