@@ -1,8 +1,10 @@
 """License scans by patience alignment.
 
-A text is searched for the key words of each template; around each of them a stretch of the text is aligned with the
-template: words unique to both are anchors, the longest increasing run of anchors is kept, and the gaps between them are
-aligned in the same way. The share of template words that found their place is the coverage.
+Long templates are whole license texts (``licenses/``) and headers: runs of four words that stand once in a template are looked
+up in a text, hits on one diagonal make a stretch, and the stretch is aligned with the template: words unique to both are
+anchors, the longest increasing run of anchors is kept, and the gaps between them are aligned in the same way. The share of
+template words that found their place is the coverage. Short forms ("licensed under the ...") are a lead, aligned in the same
+way, before a license's name, which must stand word for word, the longest name first, so that relatives are told apart.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +22,53 @@ from pyspark.sql import functions as F
 
 from .common import read_table, ship, slices
 
-#: license -> (template, key words of which a stretch must hold one)
-TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", ("apache",)),
-    "Apache-2.0-header": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', ("apache", "compliance")),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3", ("gnu", "public")),
-    "GPL-3.0-header": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("redistribute", "gnu", "foundation")),
-    "MIT": ("Released under the MIT License", ("mit",)),
-    "MIT-text": ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', ("hereby", "granted", "restriction")),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", ("cc", "nc")),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", ("cc",)),
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+#: license -> (header,); the whole texts are in ``licenses``
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0-header": ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',),
+    "GPL-2.0-header": (_GNU.format("General Public License", "2"),),
+    "GPL-3.0-header": (_GNU.format("General Public License", "3"),),
+    "LGPL-2.1-header": (_GNU.format("Lesser General Public License", "2.1"),),
+    "LGPL-3.0-header": (_GNU.format("Lesser General Public License", "3"),),
+    "AGPL-3.0-header": (_GNU.format("Affero General Public License", "3"),),
+    "MPL-2.0-header": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",),
 }
+
+
+def _names() -> dict[str, list[str]]:
+    """License -> the names that short forms give it."""
+    out = {
+        "MIT": ["MIT", "MIT License", "MIT Licence", "Expat License"],
+        "ISC": ["ISC", "ISC License"],
+        "BSD-2-Clause": ["BSD-2-Clause", "BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"],
+        "BSD-3-Clause": ["BSD-3-Clause", "BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+        "Apache-2.0": ["Apache-2.0", "Apache 2", "Apache License 2.0", "Apache License, Version 2.0", "Apache License, Version 2", "Apache License v2.0", "Apache 2.0 License"],
+        "Unlicense": ["Unlicense"],
+        "Zlib": ["zlib License", "Zlib"],
+        "CC0-1.0": ["CC0", "CC0-1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons CC0", "Creative Commons Zero v1.0 Universal"],
+    }
+    for code, name in (("GPL", "General Public License"), ("LGPL", "Lesser General Public License"), ("AGPL", "Affero General Public License")):
+        for full, versions in (("2.0", ("2", "2.0")), ("2.1", ("2.1",)), ("3.0", ("3", "3.0"))):
+            if (code, full) in {("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")}:
+                for v in versions:
+                    long = [f"{n} {x}" for n in (f"GNU {name}", f"GNU {name} ({code})", f"GNU {code}") for x in (f"version {v}", f"v{v}", v)]
+                    out.setdefault(f"{code}-{full}", []).extend([*long, f"{code} version {v}", f"{code} v{v}", f"{code}v{v}", f"{code}-{v}"])
+    for v in ("1.1", "2.0"):
+        out[f"MPL-{v}"] = [f"Mozilla Public License {x}{v}" for x in ("", "v", "v. ", "version ")] + [f"MPL {v}", f"MPL v{v}"]
+    out["EPL-2.0"] = ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "Eclipse Public License, version 2.0", "EPL-2.0"]
+    terms = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+    for code, name in terms.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            spelled = {name, name.replace("ShareAlike", "Share Alike").replace("NonCommercial", "Non-Commercial"), name.replace("NoDerivatives", "NoDerivs")}
+            out[f"CC-{code}-{v}"] = [f"CC {code} {v}", f"Creative Commons {code} {v}", *(f"Creative Commons {n} {v}" for n in sorted(spelled))]
+    return out
+
+
+_MIDDLES = ("", "the", "a", "an", "the terms of the", "the terms and conditions of the")
+_VERBS = ("licensed", "licenced", "released", "distributed", "redistributed", "published", "available", "provided", "offered", "covered")
+#: What may come before a name; the last word of a lead must touch the name.
+LEADS = ("license", "licence", "SPDX-License-Identifier", *(f"{who} {v} under {m}".strip() for who in ("", "this work is") for v in _VERBS for m in _MIDDLES))
+RUN = 4
 MIN_COVERAGE = 0.85
 _TOKEN = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
 
@@ -79,46 +119,99 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def detect(text: str, templates: dict[str, tuple[list[str], frozenset[str]]], min_coverage: float) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, start, end) of the stretches of a whole text; of overlapping stretches the one that aligns most words."""
+class Coded:
+    """Templates and names as word lists, with their lookup tables."""
+
+    def __init__(self, texts: dict[str, str], names: dict[str, list[str]]):
+        self.texts = {name: [w for w, _, _ in tokens(text)] for name, text in texts.items()}
+        self.runs: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        for name, words in self.texts.items():
+            runs = list(zip(*(words[k:] for k in range(RUN)), strict=False))
+            once = Counter(runs)
+            for k, run in enumerate(runs):
+                if once[run] == 1:
+                    self.runs.setdefault(run, []).append((name, k))
+        self.names: dict[str, list[tuple[tuple[str, ...], str]]] = {}
+        for name, spelled in names.items():
+            for core in {tuple(w for w, _, _ in tokens(x)) for x in spelled}:
+                self.names.setdefault(core[0], []).append((core, name))
+        for cores in self.names.values():
+            cores.sort(key=lambda x: (-len(x[0]), x))
+        self.leads: dict[str, list[list[str]]] = {}
+        for lead in LEADS:
+            words = [w for w, _, _ in tokens(lead)]
+            self.leads.setdefault(words[-1], []).append(words)
+
+
+@lru_cache(maxsize=1)
+def default_templates() -> Coded:
+    """Read on the driver only; tasks get the tables."""
+    whole = {f"{f.stem}-text": f.read_text() for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    return Coded({**{name: text for name, (text,) in TEMPLATES.items()}, **whole}, _names())
+
+
+def _long(words: list[str], coded: Coded) -> Iterator[tuple[str, int, int]]:
+    """(template, first word, last word + 1) of the stretches that share enough runs with a template."""
+    hits: dict[str, list[int]] = {}
+    runs = coded.runs
+    for p, run in enumerate(zip(*(words[k:] for k in range(RUN)), strict=False)):
+        if run in runs:
+            for name, k in runs[run]:
+                hits.setdefault(name, []).append(p - k)
+    for name, diagonals in hits.items():
+        m = len(coded.texts[name])
+        slack = 2 + m // 4
+        diagonals.sort()
+        first = 0
+        for k in range(1, len(diagonals) + 1):
+            if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > slack:
+                if k - first >= max(1, m // 20):
+                    yield name, max(0, diagonals[first] - slack), min(len(words), diagonals[k - 1] + m + slack)
+                first = k
+
+
+def detect(text: str, coded: Coded, min_coverage: float) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, start, end) of the stretches of a whole text; of overlapping ones that with most words more aligned than missed."""
     toks = tokens(text)
     words = [w for w, _, _ in toks]
-    places: dict[str, list[int]] = {}
-    wanted = frozenset().union(*(keys for _, keys in templates.values()))
+    found: dict[tuple[int, int, str], tuple[int, float]] = {}
+
+    def put(name: str, lo: int, hi: int, aligned: int, m: int) -> None:
+        key = (lo, hi, name)
+        found[key] = max(found.get(key, (-m, 0.0)), (2 * aligned - m, aligned / m))
+
+    for name, lo, hi in _long(words, coded):
+        pattern = coded.texts[name]
+        pairs = patience(words[lo:hi], pattern)
+        if pairs and len(pairs) >= min_coverage * len(pattern):
+            put(name, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs), len(pattern))
     for k, w in enumerate(words):
-        if w in wanted:
-            places.setdefault(w, []).append(k)
-    found: dict[tuple[int, int], tuple[int, str, float]] = {}
-    for name, (pattern, keys) in templates.items():
-        m = len(pattern)
-        slack = 2 + m // 4
-        for key in keys:
-            for p in places.get(key, ()):
-                for at in (k for k, w in enumerate(pattern) if w == key):
-                    lo, hi = max(0, p - at - slack), min(len(words), p - at + m + slack)
-                    pairs = patience(words[lo:hi], pattern)
-                    coverage = len(pairs) / m
-                    if coverage >= min_coverage:
-                        span = (lo + pairs[0][0], lo + pairs[-1][0] + 1)
-                        if span[1] - span[0] <= m + slack:
-                            found[span] = max(found.get(span, (0, "", 0.0)), (len(pairs), name, coverage))
+        if k and w in coded.names and words[k - 1] in coded.leads:
+            core, name = next((x for x in coded.names[w] if tuple(words[k : k + len(x[0])]) == x[0]), ((), ""))
+            for lead in coded.leads[words[k - 1]] if core else ():
+                lo = max(0, k - len(lead) - 2 - len(lead) // 4)
+                pairs = patience(words[lo:k], lead)
+                if len(pairs) >= min_coverage * len(lead):
+                    put(name, lo + pairs[0][0], k + len(core), len(pairs) + len(core), len(lead) + len(core))
     out: list[tuple[str, float, int, int]] = []
     taken: list[tuple[int, int]] = []
-    for (lo, hi), (_, name, coverage) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][2], x[0])):
+    for (lo, hi, name), (_, coverage) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
         if all(hi <= a or lo >= b for a, b in taken):
             taken.append((lo, hi))
             out.append((name, coverage, toks[lo][1], toks[hi - 1][2]))
     return sorted(out, key=lambda x: x[2])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, tuple[str, ...]]] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Coded | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
     """One row per license stretch: ``doc_id, license, coverage, start, end`` (code points, end exclusive).
 
-    Every whole text is searched. Texts that are null, empty or hold no key word give no row; a text that states a license
+    Every whole text is searched. Texts that are null, empty or state no license give no row; a text that states a license
     twice gives two. Null ids and repeated rows stay as they are; an empty table gives no rows; other columns are not read.
     """
-    coded = {name: ([w for w, _, _ in tokens(text)], frozenset(keys)) for name, (text, keys) in (templates or TEMPLATES).items()}
-    quick = re.compile("|".join(sorted({re.escape(k) for _, keys in coded.values() for k in keys})), re.IGNORECASE)
+    coded = templates or default_templates()
+    quick = re.compile(r"licen[sc]e|permission|redistribut|free software|creative commons|public domain|mozilla", re.IGNORECASE)
+    quick = quick if templates is None else re.compile("")
+    under = re.compile(r"\b(?:%s)[\W_]+under\b" % "|".join(_VERBS), re.IGNORECASE)
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -129,7 +222,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             rows, at = [], []
             for k, text in enumerate(texts):
                 text = text.as_py()
-                if text and quick.search(text):
+                if text and (quick.search(text) or under.search(text)):
                     for row in detect(text, coded, min_coverage):
                         rows.append(row)
                         at.append(k)

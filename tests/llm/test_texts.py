@@ -209,6 +209,33 @@ def test_licenses(spark):
     assert license_scans.scan(table(spark, texts).limit(0)).count() == 0
 
 
+def test_license_families(spark):
+    """Whole texts, headers and short forms, each under its own name and not under a relative's."""
+    from pathlib import Path
+
+    whole = {f"{f.stem}-text": f.read_text() for f in (Path(license_scans.__file__).parent / "licenses").glob("*.txt")}
+    assert len(whole) == 14
+    short = {
+        "MIT": "Licensed under the MIT License",
+        "BSD-2-Clause": "distributed under the terms of the BSD 2-Clause License",
+        "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+        "CC-BY-4.0": "Licensed under CC BY 4.0",
+        "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+        "CC0-1.0": "Released under CC0 1.0",
+        "GPL-2.0": "available under the GNU General Public License, version 2",
+        "LGPL-2.1": "available under the GNU Lesser General Public License v2.1",
+        "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0",
+        "MPL-2.0": "Released under the Mozilla Public License 2.0",
+    }
+    cases = [(n, f"{'some words before ' * 50}{t} and some after") for n, t in [*whole.items(), *short.items(), *((n, t) for n, (t,) in license_scans.TEMPLATES.items())]]
+    edited = whole["BSD-3-Clause-text"].replace("copyright holder", "Example Trust").replace("\n", "\n# ")
+    cases += [("BSD-3-Clause-text", edited), (None, "The mit license of general public; licensed under conditions.")]
+    got = {}
+    for r in license_scans.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    assert [got.get(i, []) for i in range(len(cases))] == [[n] if n else [] for n, _ in cases[:-1]] + [[]]
+
+
 def test_license_query(spark):
     lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0", "MIT": "Released under the MIT License", "GPL-3.0": "licensed under the GNU General Public License, version 3", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0"}
     want = {(r["doc_id"], k) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for k, x in lines.items() if x in r["text"]}
