@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and two character Markov models compared by log-likelihood ratio.
 
-One model is trained on random strings, the other on ordinary identifiers; a token is a secret if the first explains it
-better by ``MIN_RATIO`` nats. Scoring is a fold over a token's characters with the difference of the two tables as a literal.
+One model is trained on random strings, the other on ordinary identifiers and words; a token is a secret if the first explains
+its best stretch better by ``MIN_RATIO`` nats, so the words of a path do not outvote a secret behind them. Scoring is a fold over a token's characters with the difference of the two tables as a literal.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ BASE = {
 }
 KINDS = (*BASE, "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Tokens that the models score: runs of the alphabet of at least so many characters with a digit in them.
-MIN_TOKEN = 20
+#: Tokens that the models score: runs of the alphabet of at least so many characters. Set by false positives, see the README.
+MIN_TOKEN = 10
 MIN_RATIO = 12.0
 _TOKEN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_TOKEN
 #: Labelled samples of each kind that the models see; the bound of the training set.
@@ -34,10 +34,16 @@ _BLOCK = 128
 
 
 def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, str]]:
-    """(label, token): ``random`` strings over the usual alphabets, and ``ordinary`` identifiers, paths, numbers and words."""
+    """(label, token): ``random`` strings over the usual alphabets, and ``ordinary`` identifiers, paths, numbers and words of four languages."""
     r = random.Random(seed)
     stems = "get set user name item list page index content main data file path time date count total order price image video search result value default config module package version release update section article chapter table figure house water garden street number letter country people history science market summer winter".split()
     syllables = "an en er in on re th st ti le de la es ou nd ed ion ent ing ver ber gen ach sch ein cha per tra pro con que men tri".split()
+    prose = (
+        "the which where when while whose with without through though thought that this these those other another should would could whether weather nothing something everything anything somewhere although together health wealth strength knowledge judgment themselves ourselves yourself husband household friendship shall shown shadow should wishes washing where whole white length "
+        "heureux deux eaux aux mieux lieux yeux jeux feux nouveaux beaux cheveux ceux eux nombreux elle quelle laquelle celle quelque lorsque puisque jusque aujourd oui ou vous nous toujours jour pouvoir savoir avoir faire leurs auxquels travaux niveaux journaux "
+        "nicht schon zwischen durch wirklich geschichte gesellschaft rechtsschutzversicherung wirtschaft arbeitsplatz jahrhundert entwicklung schwierig verhalten sprache heissen zurueck moeglich zwoelf pflicht hoffnung abfall herz sitzung anspruch "
+        "hermano carro desarrollo ahora mayor trabajo mejor derecho gobierno ciudad mujer nosotros ejemplo siempre quizas hacia llegar llamar aquellos izquierda guerra rojo dibujo paisaje sociedad mismos osos oscuro"
+    ).split()
     hexes, lower, both = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", ALPHABET[:62]
     out = []
     for _ in range(n):
@@ -45,7 +51,7 @@ def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, str]]:
         out.append(("random", "".join(r.choice(alphabet) for _ in range(r.randint(20, 64)))))
         words = [r.choice(stems) for _ in range(r.randint(2, 6))]
         number = str(r.randint(0, 10 ** r.randint(1, 16)))
-        shape = r.randrange(8)
+        shape = r.randrange(12)
         if shape == 0:
             word = "_".join(words) + "_" + number
         elif shape == 1:
@@ -60,6 +66,8 @@ def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, str]]:
             word = f"{r.randint(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}_{number}"
         elif shape == 6:
             word = "_".join(words).upper()
+        elif shape < 11:
+            word = r.choice((str, str.capitalize, str.upper))("".join(r.choice(prose) for _ in range(r.randint(1, 4))))
         else:
             word = "".join(str(r.randrange(10)) for _ in range(r.randint(8, 30)))
         out.append(("ordinary", word))
@@ -125,17 +133,18 @@ def find(text: Column, pattern: str, kind: int) -> Column:
 
 
 def ratio(token: Column, table: tuple[float, ...]) -> Column:
-    """Log-likelihood ratio of a token of the alphabet, random against ordinary, over its character pairs."""
+    """Log-likelihood ratio of a token of the alphabet, random against ordinary, over the character pairs of its best stretch."""
     n = len(ALPHABET)
     values = F.array(*(F.lit(x) for x in table))
     places = F.transform(F.filter(F.split(token, "", -1), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def step(acc: Column, k: Column) -> Column:
         gain = F.when(acc["last"] >= 0, F.element_at(values, acc["last"] * n + k + 1)).otherwise(0.0)
-        return F.struct(k.alias("last"), (acc["sum"] + gain).alias("sum"))
+        total = F.greatest(acc["sum"] + gain, F.lit(0.0))
+        return F.struct(k.alias("last"), total.alias("sum"), F.greatest(acc["best"], total).alias("best"))
 
-    return F.aggregate(places, start, step, lambda acc: acc["sum"])
+    return F.aggregate(places, start, step, lambda acc: acc["best"])
 
 
 def _long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
@@ -160,8 +169,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         out = out.withColumn(name, F.filter(find(F.col("text"), pattern, k), _long_enough(pattern, group, least)))
         parts.append(F.col(name))
     out = out.withColumn("base", F.concat(*parts))
-    digit = F.filter(find(F.col("text"), _TOKEN, len(BASE)), lambda x: F.regexp_like(x["token"], F.lit("[0-9]")))
-    free = F.filter(digit, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    free = F.filter(find(F.col("text"), _TOKEN, len(BASE)), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     out = out.withColumn("markov", F.filter(free, lambda x: ratio(x["token"], table) >= min_ratio))
     return out.select("doc_id", F.array_sort(F.concat("base", "markov")).alias("found"))
 

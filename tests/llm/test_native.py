@@ -178,6 +178,14 @@ def test_secrets(spark):
     assert secret_scans.scan(docs.limit(0)).count() == 0
 
 
+def test_secrets_without_digits_short_or_in_paths(spark):
+    secrets = ["qXbVmZkTfLwHsRyNpJdGcuAeiWoYtQrM", "xKqWzPvBtHjYdNgF", "JBQXG3DVK5WTQZ7M", "home/web/content/article/list/page/q7XbV2mZk9TfLw3HsRy8NpJd0cGuAe5i"]
+    plain = ["Rechtsschutzversicherung", "internationalization", "misunderstanding", "desafortunadamente", "malheureusement", "web/content/article/list/page"]
+    docs = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate(secrets + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: [x["token"] for x in r["found"]] for r in secret_scans.scan(docs).collect()}
+    assert got == {i: [x] if x in secrets else [] for i, x in enumerate(secrets + plain)}
+
+
 def test_secret_query(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op8_secret_scans"](spark, SF).collect()}
     for doc, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
