@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import language_id, line_dedup, mixing, ngram_join, packing
-from lodestone.llm.common import written
+from lodestone.llm.common import small_batches, written
 
 #: A text that no learned language codes in fewer bits a byte is in none of them (prose takes 2 to 4, random letters over 6).
 MAX_BITS = 6.5
@@ -25,6 +25,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rejected: a null text, one without a letter, and one that every model finds random. An empty input stays empty.
     """
+    small_batches(spark)
     told = language_id.identify(docs, language_id.train(docs))
     kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_bits") <= MAX_BITS))
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -43,6 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without a word, and rows without an id, are in no group and stay.
     """
+    small_batches(spark)
     groups = written(ngram_join.components_of(docs), "groups")
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
@@ -65,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences whose lengths are powers of two; ``ids`` are little-endian unsigned 32-bit."""
+    small_batches(spark)
     packed = packing.pack(docs)
     return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
+__all__ = ["SPACES", "WORD", "broadcast_if_small", "drop", "drop_written", "read_table", "shared_dir", "ship", "slices", "small_batches", "word_count", "written"]
+
 #: A word is a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as bytes, for ``bytes.translate``; ``bytes.split()`` cuts at exactly these.
@@ -23,7 +26,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 BATCH_BYTES = "4m"
 _DEFAULT_BATCH = "67108864b"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,32 +39,29 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset a local session (tests) gets a folder of its own; on a cluster it is an error, for executors would
+    write to folders that no other machine sees.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_dir, "own", None)
         if folder is None:
             folder = shared_dir.own = tempfile.mkdtemp(prefix="lodestone-")
     return folder
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per context; they may not have it on their path.
+def small_batches(spark: SparkSession) -> None:
+    """Keep this session's Arrow batches to ``BATCH_BYTES`` where nobody has set a size.
 
-    Arrow batches of this session are also kept to ``BATCH_BYTES`` where nobody has set a size: a batch stands in an
-    executor's memory outside of the heap, several times over while it grows.
+    A batch stands in an executor's memory outside of the heap, several times over while it grows. The registered queries and
+    the pipeline's stages ask for this; the operators leave the session as it is.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _DEFAULT_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    sc = spark.sparkContext
-    if not getattr(sc, "_lodestone_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        name = f"{tempfile.mkdtemp(prefix='lodestone-')}/lodestone.zip"  # the driver serves the file itself
-        with zipfile.ZipFile(name, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f"{root.name}/{f.relative_to(root)}")
-        sc.addPyFile(name)
-        sc._lodestone_shipped = True
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -80,25 +80,35 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 
-    A lost executor then costs a re-read instead of a recomputation. The tables go when the driver's process ends.
+    A lost executor then costs a re-read instead of a recomputation. The table goes with ``drop``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def drop_written() -> None:
-    """Delete every table that ``written`` has made. Frames that read them end with it."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` after their last reader has run; frames that still read them end with them."""
+    for table in tables:
+        _delete(table._written_at)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            continue
+
+
+def drop_written() -> None:
+    """Delete every table that ``written`` has made and nobody has dropped."""
+    for path in list(_written):
+        _delete(path)
 
 
 atexit.register(drop_written)

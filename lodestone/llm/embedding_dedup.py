@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, slices, written
+from .common import read_table, ship, slices, small_batches, written
 from .graph import components
 
 THRESHOLD = 0.9
@@ -228,4 +228,5 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates(read_table(spark, sf_dir, "embeddings"))

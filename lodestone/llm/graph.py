@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 #: Parts into which the edges of a node are dealt for a join; the other side, one row per node, is copied to each. AQE splits
 #: a part that is still too large: both sides are shuffled for this join alone.
@@ -37,7 +37,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge to another; component is the smallest node that it reaches.
 
-    Loops, nulls and repeated edges count for nothing. An empty table gives no rows.
+    Loops, nulls and repeated edges count for nothing. An empty table gives no rows. Each round's table goes once the next
+    one is written; the last one stays, since the result reads it.
     """
     pairs = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     pairs, seen = written(pairs, "edges"), None
@@ -46,4 +47,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if sign == seen:
             return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         seen = sign
-        pairs = written(_small_star(_large_star(pairs)), "edges")
+        last, pairs = pairs, written(_small_star(_large_star(pairs)), "edges")
+        drop(last)

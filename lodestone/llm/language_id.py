@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, slices
+from .common import read_table, ship, slices, small_batches
 
 ORDER = 4
 #: The bound of the training sample: so many documents of each language, and so many characters of each.
@@ -193,6 +193,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     out = identify(docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

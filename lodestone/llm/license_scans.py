@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, slices
+from .common import read_table, ship, slices, small_batches
 
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
 #: license -> (header,); the whole texts are in ``licenses``
@@ -234,4 +234,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return scan(read_table(spark, sf_dir, "documents"))

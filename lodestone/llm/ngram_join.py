@@ -1,12 +1,15 @@
 """N-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
 A document is the set of its distinct five-word shingles. Equal sets are folded into one. Sets that may be similar meet in
-a tile: a tile holds the sets that agree in one of ``BANDS`` groups of ``ROWS`` minimal hashes. Two sets with a Jaccard
-similarity of 0.8 share no tile with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-9; nothing else can lose a link.
-Chains of tiles form clusters, clusters are cut into blocks of bounded size, and in a block, sorted by size, a set is held
-only against those of its size band (the smaller at least 0.8 of the larger). The hashed bitmaps' differing bits bound the
-overlap from above, and what passes is decided by intersecting the sorted arrays. Sets already joined are not compared again.
-Clusters of several blocks are then closed exactly: every pair that shares a tile and is in two components is compared.
+a tile: a tile holds the sets of one size band and of the band below it that agree in one of ``BANDS`` groups of ``ROWS``
+minimal hashes. Bands grow by 1 / 0.8, so two sets that reach the similarity are in one band or in neighbouring ones, and they
+share no group with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-9; nothing else can lose a link.
+
+Tiles of the same members count once. Chains of tiles form clusters; these are cut into blocks of bounded size, and in a
+block, sorted by size, the bits in which two hashed bitmaps differ bound the overlap from above, and what passes is decided by
+intersecting the sorted arrays. Sets already joined are not compared again. Clusters of several blocks are then closed tile by
+tile: where a tile holds several components, the bitmaps of its sets outside of the largest one are held against all others,
+in blocks dealt over tasks, and only pairs that pass the bound leave a task and have their arrays intersected.
 """
 
 from __future__ import annotations
@@ -17,20 +20,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import read_table, ship, slices, written
+from .common import drop, read_table, ship, slices, small_batches, written
 from .graph import components
 
 SHINGLE = 5
 PERCENT = 80
 ROWS, BANDS = 5, 53
-#: Bits of the hashed bitmap.
-BITS = 4096
-#: Sets per block, and sets of a cluster that stand in each of its blocks so that blocks join up.
+#: Least and most bits of a hashed bitmap; it has about four for each shingle.
+BITS = 256, 1 << 18
+#: Sets and bytes of shingles per block, and sets of a cluster that stand in each of its blocks so that blocks join up.
 BLOCK = 256
+BLOCK_BYTES = 16 << 20
 LEADERS = 8
-#: Documents in clusters whose ids are broadcast (16 bytes each) to pick their texts; beyond that they are joined by shuffle.
+#: Sets of a tile in a block of bitmaps.
+TILE_BLOCK = 1024
+#: Documents in clusters whose places are broadcast (some 80 bytes each) to pick their texts; beyond that they are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
 _WORDS_KEPT = 150_000
 
@@ -119,10 +124,27 @@ def enough(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
+def bits_of(n: int) -> int:
+    """Bits of the bitmap of a set of ``n`` shingles: the power of two from four for each shingle on, within ``BITS``."""
+    return min(max(1 << (4 * n - 1).bit_length(), BITS[0]), BITS[1])
+
+
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
     """Parity of the shingles that fall on each bit: two sets differ in at least as many shingles as bits."""
-    odd = (np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.uint64)
+    odd = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def halved(maps: np.ndarray) -> np.ndarray:
+    """Bitmaps of half as many bits: parities of two bits add up."""
+    at = maps.shape[-1] // 2
+    return maps[..., :at] ^ maps[..., at:]
+
+
+def _may_reach(differ: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """Whether sets that differ in at least so many shingles can reach the similarity."""
+    bound = (sizes + size - differ) // 2
+    return 100 * bound >= PERCENT * (sizes + size - bound)
 
 
 def join_block(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -130,7 +152,8 @@ def join_block(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
     order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
     nodes, sets = nodes[order], [sets[k] for k in order]
     size = np.array([len(s) for s in sets], np.int64)
-    maps = np.stack([_bitmap(s) for s in sets])
+    bits = bits_of(int(size[-1]) // 2)
+    maps = np.stack([bitmap(s, bits) for s in sets])
     root = np.arange(len(nodes))
     lowest = np.searchsorted(100 * size, PERCENT * size)  # the size band of each set begins here
     for k in range(1, len(nodes)):
@@ -138,9 +161,8 @@ def join_block(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
         if lo >= k:
             continue
         differ = np.bitwise_count(maps[lo:k] ^ maps[k]).sum(axis=1, dtype=np.int64)
-        bound = (size[lo:k] + size[k] - differ) // 2
-        left = lo + np.flatnonzero(100 * bound >= PERCENT * (size[lo:k] + size[k] - bound))
-        left = left[np.argsort(-bound[left - lo], kind="stable")]
+        left = lo + np.flatnonzero(_may_reach(differ, size[lo:k], size[k]))
+        left = left[np.argsort(differ[left - lo] - size[left], kind="stable")]
         while True:
             left = left[root[left] != root[k]]
             if not len(left):
@@ -156,33 +178,114 @@ def join_block(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
     return [(node, least[r]) for node, r in zip(nodes.tolist(), root.tolist(), strict=True) if count[r] > 1]
 
 
-def _join_bin(table: pa.Table) -> pa.Table:
-    """A bin holds whole blocks of one or more clusters."""
-    cluster, block, node = (table[c].to_numpy() for c in ("cluster", "block", "node"))
-    raw = table["shingles"].to_pylist()
-    members: dict[tuple[int, int], dict[tuple[int, bytes], int]] = {}
-    for k in range(len(node)):
-        members.setdefault((int(cluster[k]), int(block[k])), {}).setdefault((int(node[k]), raw[k]), k)
-    links: list[tuple[int, int]] = []
-    for rows in members.values():
-        if len(rows) > 1:
-            at = list(rows.values())
-            links += join_block(node[at], [np.frombuffer(raw[k], np.uint64) for k in at])
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that are sorted by ``keys``, one table for each key; no more than one key's rows are held."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in slices(batches):
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        for lo, hi in zip(starts := [0, *np.flatnonzero(new).tolist()], [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(c[lo] for c in cols)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["a", "b"])
+
+
+def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each block; of rows that share an id and a set one counts."""
+    for table in _runs(batches, ["cluster", "block"]):
+        if table.num_rows > 1:
+            rows = dict.fromkeys(zip(table["node"].to_pylist(), table["shingles"].to_pylist(), strict=True))
+            yield _pairs(join_block(np.array([node for node, _ in rows]), [np.frombuffer(raw, np.uint64) for _, raw in rows]))
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace the text in the last column by the bitmap of its shingles."""
+    for batch in slices(batches):
+        out = []
+        for t in batch.column(batch.num_columns - 1).cast(pa.binary()):
+            s = _shingler.shingles(t.as_py())
+            out.append(bitmap(s, bits_of(len(s))).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "map"])
+
+
+def near_pairs(left: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Pairs of a row of ``left`` and one of the rest, of two components, whose sizes and bitmaps allow the similarity.
+
+    Rows of ``left`` are outside of their tile's largest component; of the rest some may be, and such a pair counts once.
+    Bitmaps of sizes that can be similar have as many bits, or twice as many, which are halved.
+    """
+    bits = np.array([len(m) for m in maps])
+    for level in np.unique(bits).tolist():
+        own, twice = np.flatnonzero(bits == level), np.flatnonzero(bits == 2 * level)
+        at = np.concatenate([own, twice])
+        stack = np.stack([maps[k] for k in own])
+        if len(twice):
+            stack = np.concatenate([stack, halved(np.stack([maps[k] for k in twice]))])
+        for p in np.flatnonzero(left[at]).tolist():
+            k = at[p]
+            # two sets of twice the bits meet at their own level
+            other = own if p >= len(own) else at
+            like = ~left[other] & (comp[other] != comp[k]) & (~outside[other] | (node[other] > node[k]))
+            like &= (100 * size[other] >= PERCENT * size[k]) & (PERCENT * size[other] <= 100 * size[k])
+            q = np.flatnonzero(like)
+            differ = np.bitwise_count(stack[q] ^ stack[p]).sum(axis=1, dtype=np.int64)
+            for j in other[q[_may_reach(differ, size[other[q]], size[k])]].tolist():
+                yield (int(node[k]), int(node[j]))
+
+
+def _bound_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that pass the bound, task by task of a tile: rows of side 0 against rows of side 1."""
+    for table in _runs(batches, ["tile", "i", "j"]):
+        left = table["side"].to_numpy() == 0
+        if left.any() and not left.all():
+            node, comp, size, outside = (table[c].to_numpy() for c in ("node", "comp", "n", "outside"))
+            maps = [np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()]
+            yield _pairs(sorted({(min(a, b), max(a, b)) for a, b in near_pairs(left, outside, node, comp, size, maps)}))
 
 
 def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, 64):
         a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         good = [enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _with_text(docs: DataFrame, picked: DataFrame, n_picked: int) -> DataFrame:
-    """Columns of ``picked`` (one per node or more) and the shingles of the node's text."""
+def _with_text(docs: DataFrame, picked: DataFrame, n_picked: int, run, name: str) -> DataFrame:
+    """Columns of ``picked`` (one row per node or more) and what ``run`` makes of the node's text."""
     picked = F.broadcast(picked) if n_picked <= BROADCAST_DOCS else picked
     joined = docs.join(picked, docs["doc_id"] == picked["node"]).select(*picked.columns, "text")
-    return joined.mapInArrow(_arrays, ", ".join(f"{c} {t}" for c, t in picked.dtypes) + ", shingles binary")
+    return joined.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in picked.dtypes) + f", {name} binary")
+
+
+def _tiles(nodes: DataFrame) -> DataFrame:
+    """(tile, node, n) of the tiles with two members or more, one of those with the same members.
+
+    The keys are shuffled once: both uses of the dealt rows read the same exchange. Nearly all keys have one node and go. The
+    rest meets again by size band; a set is in its own band and in the one above.
+    """
+    dealt = nodes.select("node", "n", F.explode("keys").alias("tile")).repartition("tile")
+    twice = dealt.groupBy("tile").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("tile").hint("shuffle_hash")
+    shared = written(dealt.join(twice, "tile"), "shared")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    banded = shared.select("node", "n", F.explode(F.transform(F.array(band, band + 1), lambda b: F.xxhash64("tile", b))).alias("tile"))
+    members = [F.count("*").alias("members"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    each = banded.groupBy("tile").agg(*members).where("lo <> hi")
+    once = each.groupBy("members", "lo", "hi", "x", "y").agg(F.min("tile").alias("tile")).select("tile", F.col("lo").alias("lead"), "members")
+    out = written(banded.join(once, "tile"), "tiles")
+    drop(shared)
+    return out
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,72 +293,95 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are lower-cased (A-Z) runs without ASCII white space; a text of fewer than five words is one shingle; a null,
     empty or blank one has the empty set and links with nothing. Documents link at a Jaccard similarity of 0.8 or more, equal
-    sets always. component_id is the smallest id reachable. A null id takes no part (component null). Repeated rows are
-    linked; rows that share an id are one document to the links. An empty table gives no rows; other columns are not read.
+    sets always. component_id is the smallest id reachable. Ids must be whole numbers; a null id takes no part (component
+    null). Repeated rows are linked; rows that share an id are one document to the links. An empty table gives no rows; other
+    columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(docs.mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "sets")
+    keyed = written(docs.mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "keyed")
+    sets = written(keyed.drop("keys"), "sets")
 
     # equal sets are one node, the smallest id; each map task first folds its own copies
-    folded = sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    reps = written(folded, "reps")
+    folded = keyed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    tiles = _tiles(folded)
+    drop(keyed)
+    found = components(_links(docs, tiles))
+
+    reps = sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
+    done = reps.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
+    key = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h1")).alias("h1")
+    return sets.select("doc_id", "n", key, "h2").join(done, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
-    tiles = reps.select("node", F.explode("keys").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.min("node").alias("lead"), F.max("node").alias("most")).where("lead <> most").select("tile", "lead")
-    star = tiles.join(shared, "tile").where("node <> lead").select("node", "lead").distinct()
-    clusters = written(components(star, "node", "lead").select("node", F.col("component").alias("cluster")), "clusters")
 
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    spread = clusters.join(sizes, "cluster")
+def _links(docs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(a, b): links that join up all nodes that reach each other. ``tiles`` is dropped."""
+    spark = docs.sparkSession
+    clusters = components(tiles.where("node <> lead").select("node", "lead").distinct(), "node", "lead").select("node", F.col("component").alias("cluster"))
+    sizes = tiles.groupBy("node").agg(F.first("n").alias("n"))
+    clusters = written(clusters.join(sizes, "node"), "clusters")
+    totals = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(8 * F.col("n")).alias("bytes"))
+    totals = totals.withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     leads = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("size")) < LEADERS
-    where = F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-    placed = spread.select("node", "cluster", where.alias("where"), "blocks")
-    n_placed = clusters.count()
-    bins = max(8 * parts, n_placed // 1000)
-    rows = _with_text(docs, placed, n_placed).select("node", "cluster", F.explode("where").alias("block"), "shingles")
-    rows = rows.withColumn("bin", F.pmod(F.xxhash64("cluster", "block"), F.lit(bins)))
-    links = written(rows.groupBy("bin").applyInArrow(_join_bin, "a long, b long"), "joined")
-
-    found = components(links)
-    wide = placed.where("blocks > 1").select("node", "cluster")
-    if not wide.isEmpty():
-        more = _across_blocks(docs, reps, tiles, wide, found)
-        if more is not None:
-            found = components(links.unionByName(more))
+    block = F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))
+    spread = written(clusters.join(totals, "cluster").select("node", "cluster", "n", "blocks", block.alias("block")), "spread")
+    drop(clusters)
 
-    done = reps.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
-    key = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("h1")).alias("h1")
-    return sets.select("doc_id", "n", key, "h2").join(done, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    n_spread, n_bytes = spread.agg(F.count("*"), F.coalesce(F.sum(8 * F.col("n")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // BLOCK_BYTES)
+    rows = _with_text(docs, spread.select("node", "cluster", "block"), n_spread, _arrays, "shingles")
+    rows = rows.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block")
+    links = written(rows.mapInArrow(_join_blocks, "a long, b long"), "joined")
+
+    wide = spread.where("blocks > 1").select("node").distinct()
+    if not wide.isEmpty():
+        found = components(links)
+        at = written(wide.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "wide")
+        links = links.unionByName(_across_blocks(docs, tiles, at))
+        drop(at)
+    drop(spread, tiles)
+    return links
 
 
-def _across_blocks(docs: DataFrame, reps: DataFrame, tiles: DataFrame, wide: DataFrame, found: DataFrame) -> DataFrame | None:
-    """Links between components within clusters of several blocks, or None if each such cluster is one component.
+def _across_blocks(docs: DataFrame, tiles: DataFrame, at: DataFrame) -> DataFrame:
+    """Links between the components of ``at`` (node, comp) that share a tile.
 
-    Of two components in a cluster one is not its largest; so the pairs that share a tile and hold a node outside of the
-    largest component are all that can be missing.
+    Of two components in a tile one is not its largest; so the pairs with a node outside of the largest are all that can be
+    missing. A tile's outsiders and members are cut into blocks, and a task holds one block of each.
     """
-    at = wide.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("comp"))
-    at = written(at, "wide")
-    count = at.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
-    largest = count.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    minor = at.join(largest, "cluster").where("comp <> main").select("node", "comp")
-    if minor.isEmpty():
-        return None
-    sized = reps.select("node", "n")
-    held = written(tiles.join(at.select("node", "comp"), "node").join(sized, "node"), "wide-tiles")
-    few = held.join(minor.select("node"), "node", "left_semi").select("tile", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    pairs = few.join(held, "tile").where(f"comp <> ca and 100 * least(n, na) >= {PERCENT} * greatest(n, na)").select("a", F.col("node").alias("b")).distinct()
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    arrays = written(_with_text(docs, ends, ends.count()).dropDuplicates(["node"]), "arrays")
+    spark = docs.sparkSession
+    held = tiles.join(at, "node").select("tile", "node", "n", "comp")
+    count = held.groupBy("tile", "comp").agg(F.count("*").alias("m"))
+    mixed = count.groupBy("tile").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("inside"), F.sum("m").alias("members")).where("inside < members")
+    blocks = mixed.select("tile", "main", F.ceil(F.col("members") / TILE_BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("inside")) / TILE_BLOCK).cast("int").alias("minor"))
+    rows = held.join(blocks, "tile").withColumn("outside", F.col("comp") != F.col("main"))
+    rows = written(rows.select("tile", "node", "n", "comp", "outside", "blocks", "minor"), "mixed")
+    ends = written(rows.select("node").distinct(), "ends")
+    maps = written(_with_text(docs, ends, ends.count(), _maps, "map").dropDuplicates(["node"]), "maps")
+
+    def dealt(own: str, others: str, first: bool):
+        mine = F.pmod(F.xxhash64(F.lit(int(first)), "node"), F.col(own)).cast("int")
+        each = F.sequence(F.lit(0), F.col(others) - 1)
+        return F.transform(each, lambda k: F.struct((mine if first else k).alias("i"), (k if first else mine).alias("j"), F.lit(int(not first)).alias("side")))
+
+    tasks = F.concat(F.when(F.col("outside"), dealt("minor", "blocks", True)).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>")), dealt("blocks", "minor", False))
+    each = rows.withColumn("t", F.explode(tasks)).select("tile", "node", "n", "comp", "outside", "t.i", "t.j", "t.side").join(maps, "node")
+    total = rows.agg(F.coalesce(F.sum(F.size(tasks) * F.col("n") / 2), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BLOCK_BYTES)
+    each = each.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    pairs = written(each.mapInArrow(_bound_tiles, "a long, b long").distinct(), "pairs")
+    drop(rows, ends, maps)
+
+    ends = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+    arrays = written(_with_text(docs, ends, ends.count(), _arrays, "shingles").dropDuplicates(["node"]), "arrays")
     both = pairs.join(arrays.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(arrays.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(_check_pairs, schema), "more")
+    more = written(both.select("a", "b", "sa", "sb").mapInArrow(_check_pairs, "a long, b long"), "more")
+    drop(pairs, ends, arrays)
+    return more
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return components_of(read_table(spark, sf_dir, "documents"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, slices
+from .common import read_table, ship, slices, small_batches
 
 END_ID = 2
 MAX_LEN = 4096
@@ -174,5 +174,6 @@ def write_buckets(packed: DataFrame, path: str) -> None:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     packed = pack(read_table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

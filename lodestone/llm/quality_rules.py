@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read_table, ship, slices
+from .common import SPACES, read_table, ship, slices, small_batches
 
 _SYMBOLS = b"#*$%&|<>"
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -144,6 +144,7 @@ def ablation(led: DataFrame, policy: str, policies: dict[str, tuple[str, ...]] =
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract rows: the base measurements, ``base_failed`` from the two base rules, ``kept`` from the policy ``web/1``."""
+    small_batches(spark)
     led = ledger(read_table(spark, sf_dir, "documents"))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(F.col("failed"), "base/1")).alias("base_failed"), (passes(F.col("failed"), "base/1") & passes(F.col("failed"), "web/1")).alias("kept"), "failed")
 

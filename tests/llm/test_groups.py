@@ -93,12 +93,35 @@ def test_join_over_blocks(spark, monkeypatch):
     """Clusters of many blocks, without leaders that join them: the closing step finds every link that is left."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "LEADERS", 0)
+    monkeypatch.setattr(ngram_join, "TILE_BLOCK", 8)
     r = random.Random(2)
     base = [f"w{k}" for k in range(120)]
     rows = list(enumerate(variants(r, base, 60, 12)))
     check_join(spark, rows)
 
 
+def test_join_below_threshold(spark, monkeypatch):
+    """Many documents that share a passage and stay below the threshold: the pairs that leave the tiles don't grow with their square."""
+    emitted = []
+    whole = ngram_join.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name == "pairs":
+            emitted.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    r = random.Random(12)
+    passage = [f"p{k}" for k in range(200)]
+    # a similarity near 0.65 within each pair, and two real copies
+    texts = [" ".join([*passage, *(f"q{r.randrange(10**9)}" for _ in range(48))]) for _ in range(4000)]
+    texts += [texts[0] + " more", texts[1] + " more"]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.components_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(4000)}, 4000: 0, 4001: 1}
+    assert emitted and max(emitted) < 4000
+
+
 def test_join_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BROADCAST_DOCS", 0)
     rows = list(enumerate(["a b c d e f"] * 3 + ["a b c d e f g h i j k l", "a b c d e f g h i j k l m"]))
@@ -117,8 +140,32 @@ def test_bound_and_miss():
     r = np.random.default_rng(3)
     a = np.unique(r.integers(0, 2**63, 400, np.uint64))
     b = np.unique(np.concatenate([a[:300], r.integers(0, 2**63, 80, np.uint64)]))
-    differ = int(np.bitwise_count(ngram_join._bitmap(a) ^ ngram_join._bitmap(b)).sum())
-    assert (len(a) + len(b) - differ) // 2 >= len(np.intersect1d(a, b))
+    both = len(np.intersect1d(a, b))
+    for bits in (256, 2048, 1 << 18):
+        x, y = ngram_join.bitmap(a, bits), ngram_join.bitmap(b, bits)
+        assert (len(a) + len(b) - int(np.bitwise_count(x ^ y).sum())) // 2 >= both
+        assert (ngram_join.halved(x) == ngram_join.bitmap(a, bits // 2)).all()
+
+
+def test_bounded_pairs():
+    """Of every two sets that reach the similarity, with bitmaps of one or two lengths, the pair passes the bound, and once."""
+    r = np.random.default_rng(6)
+    sets = []
+    for size in (5, 30, 60, 63, 64, 66, 500, 510, 515, 3000):
+        base = r.integers(0, 2**63, size, np.uint64)
+        for _ in range(6):
+            s = base.copy()
+            s[: r.integers(0, size // 4 + 1)] = r.integers(0, 2**63, 1, np.uint64)[0]
+            sets.append(np.unique(np.concatenate([s, r.integers(0, 2**63, r.integers(0, size // 5 + 1), np.uint64)])))
+    n = len(sets)
+    node, size = np.arange(n), np.array([len(s) for s in sets])
+    comp, maps = node.copy(), [ngram_join.bitmap(s, ngram_join.bits_of(len(s))) for s in sets]
+    # all are outsiders: each stands on both sides
+    left = np.repeat([True, False], n)
+    got = list(ngram_join.near_pairs(left, np.ones(2 * n, bool), np.tile(node, 2), np.tile(comp, 2), np.tile(size, 2), maps * 2))
+    true = {(a, b) for a in range(n) for b in range(a) if ngram_join.enough(sets[a], sets[b])}
+    assert len(got) == len(set(got)) and {(max(p), min(p)) for p in got} >= true
+    assert any(len(maps[a]) != len(maps[b]) for a, b in true)
 
 
 def test_join_query(spark):
