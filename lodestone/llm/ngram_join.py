@@ -318,7 +318,11 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _links(docs: DataFrame, tiles: DataFrame) -> DataFrame:
     """(a, b): links that join up all nodes that reach each other. ``tiles`` is dropped."""
     spark = docs.sparkSession
-    clusters = components(tiles.where("node <> lead").select("node", "lead").distinct(), "node", "lead").select("node", F.col("component").alias("cluster"))
+    # a node's smallest lead stands for it in its other tiles, so a large group has an edge per node and few between leads
+    first = tiles.groupBy("node").agg(F.min("lead").alias("first"))
+    between = tiles.join(first, "node").select("first", "lead").where("first <> lead").distinct()
+    edges = first.select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(between.select(F.col("lead").alias("a"), F.col("first").alias("b")))
+    clusters = components(edges).select("node", F.col("component").alias("cluster"))
     sizes = tiles.groupBy("node").agg(F.first("n").alias("n"))
     clusters = written(clusters.join(sizes, "node"), "clusters")
     totals = clusters.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(8 * F.col("n")).alias("bytes"))
