@@ -236,10 +236,41 @@ def test_embedding_links_over_many_cells(spark):
     cos = r.uniform(0.901, 0.92, (len(x), 1))
     both = np.concatenate([x, cos * x + np.sqrt(1 - cos * cos) * away])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(both)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, cell_rows=20).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, cell_rows=20, sigmas=None).collect()}
     assert got == {i: (1, i % len(x)) for i in range(len(both))}
 
 
+@pytest.mark.parametrize("spread", [64, 12])
+def test_embedding_recall_over_a_thousand_cells(spread):
+    """Pairs at the threshold, over 1,000 cells, in vectors that fill all or few dimensions: the usual reach keeps nearly all."""
+    r = np.random.default_rng(11)
+
+    def draw(n):
+        y = r.normal(size=(n, 64)) * np.exp(-np.arange(64) / spread)
+        return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    sample = draw(12_000)
+    c = embedding_dedup.fit({64: sample}, {64: 1000})[64]
+    reach = embedding_dedup.reach_of(sample, 0.9, embedding_dedup.SIGMAS)
+    u, w = draw(4000), draw(4000)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    v = 0.9 * u + np.sqrt(0.19) * w
+    (hu, gu), (hv, gv) = embedding_dedup._seats(u, c, reach), embedding_dedup._seats(v, c, reach)
+    k = np.arange(len(u))
+    assert (hu != hv).mean() > 0.2
+    assert ((hu == hv) | gu[k, hv] | gv[k, hu]).mean() > 0.99
+    assert gu.sum(axis=1).mean() < 250
+
+
+def test_embedding_query(spark):
+    """The registered query, over its whole table, against all pairs."""
+    vectors = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    links, u = linked(vectors)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in QUERIES["op9_embedding_dedup"](spark, SF).collect()}
+    assert got == {i: (links[i], u.find(i), u.find(i) == i) for i, _ in vectors}
+
+
 # ---- pipeline
 
 
