@@ -11,20 +11,22 @@ direct-mapped table; a text's code length is a sum of look-ups. The table is a c
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, slices, small_batches
+from .common import broadcast_if_small, read_table, ship, slices, small_batches
 
 ORDER = 4
-#: The bound of the training sample: so many documents of each language, and so many characters of each.
+#: The bound of the training sample: so many whole documents and bytes of each language, and so many languages, the commonest.
 SAMPLE_DOCS = 300
-SAMPLE_CHARS = 2000
+SAMPLE_BYTES = 4 << 20
+MAX_LANGS = 256
+#: Labels up to this many are broadcast with their counts.
+BROADCAST_LANGS = 10_000
 UNKNOWN = "und"
 _SLOTS = 1 << 19
 _CHUNK = 1 << 18
@@ -82,13 +84,13 @@ class Model:
 
     def _window_bits(self, windows: np.ndarray) -> np.ndarray:
         if self._keys is None:
-            self._keys, self._costs = np.full(_SLOTS, -1, np.int64), np.zeros((_SLOTS, len(self.langs)), np.float32)
+            self._keys, self._costs = np.full(_SLOTS, -1, np.int64), np.zeros((_SLOTS, len(self.langs)))
         slots = ((windows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 19)).astype(np.int64)
         out = self._costs[slots]
         miss = np.flatnonzero(self._keys[slots] != windows)
         if len(miss):
             fresh, back = np.unique(windows[miss], return_inverse=True)
-            costs = np.stack([t.bits(fresh) for t in self.trees], axis=1).astype(np.float32)
+            costs = np.stack([t.bits(fresh) for t in self.trees], axis=1)
             out[miss] = costs[back]
             at = slots[miss]
             self._keys[at] = windows[miss]
@@ -108,7 +110,7 @@ class Model:
             windows = np.zeros(len(data), np.int64)
             for j in range(self.order + 1):
                 windows[j:] |= data[: len(data) - j] << (8 * j)
-            bits = self._window_bits(windows).astype(np.float64)
+            bits = self._window_bits(windows)
             at = 0
             for row, a, b in parts:
                 total[row] += bits[at + len(a) : at + len(a) + len(b)].sum(axis=0)
@@ -147,24 +149,24 @@ def has_letter(text: str) -> bool:
     return any(c in _LATIN or c.isalpha() for c in text)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most ``docs_per_lang`` documents of each language and ``chars`` characters of each, none of them held out.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = SAMPLE_DOCS, bytes_per_lang: int = SAMPLE_BYTES, max_langs: int = MAX_LANGS) -> Model:
+    """Fit on at most ``docs_per_lang`` whole documents and ``bytes_per_lang`` bytes of each language, none of them held out.
 
-    The sample is drawn by a hash of the id, so reruns agree. Rows without text or language teach nothing. The number of
-    languages is taken to be small: the model and the driver hold a bounded sample for each.
+    The sample is drawn by a hash of the id and the text, so reruns agree; in its order it ends where the bytes
+    would be passed. Rows without text or language teach nothing. Of more than ``max_langs`` labels the commonest are
+    learned, of equally common ones the first by code point: the model and the driver hold a bounded sample for each.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, 1.5 * docs_per_lang / n) * 1_000_000)))
-    rows = labelled.where(chosen).select("lang", "id", F.substring("text", 1, chars).alias("text")).collect() if counts else []
+    text, lang = F.col(text_col), F.col(lang_col)
+    labelled = docs.where(lang.isNotNull() & text.isNotNull() & ~held_out(F.col(id_col))).select(lang.cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.lit(17), F.col(id_col), text).alias("h"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    draw = F.shiftrightunsigned("h", 11) * F.lit(2.0**-53)
+    likely = labelled.where(F.octet_length("text") <= bytes_per_lang).join(broadcast_if_small(counts, BROADCAST_LANGS), "lang").where(draw < 2.0 * docs_per_lang / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    place, size = F.row_number().over(order), F.sum(F.octet_length("text")).over(order)
+    rows = likely.withColumns({"place": place, "size": size}).where((F.col("place") <= docs_per_lang) & (F.col("size") <= bytes_per_lang)).select("lang", "place", "text").collect()
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], zlib.crc32(str(r["id"]).encode()), str(r["id"]), r["text"])):
-        mine = samples.setdefault(r["lang"], [])
-        if len(mine) < docs_per_lang:
-            mine.append(r["text"].encode())
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+        samples.setdefault(r["lang"], []).append(r["text"].encode())
     return Model(samples)
 
 
