@@ -194,10 +194,13 @@ def detect(text: str, coded: Coded, min_coverage: float) -> list[tuple[str, floa
                 if len(pairs) >= min_coverage * len(lead):
                     put(name, lo + pairs[0][0], k + len(core), len(pairs) + len(core), len(lead) + len(core))
     out: list[tuple[str, float, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    begins: list[int] = []
+    ends: list[int] = []  # of the stretches taken, which don't overlap: both rise
     for (lo, hi, name), (_, coverage) in sorted(found.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
-        if all(hi <= a or lo >= b for a, b in taken):
-            taken.append((lo, hi))
+        at = bisect_left(begins, hi)
+        if not at or ends[at - 1] <= lo:
+            begins.insert(at, lo)
+            ends.insert(at, hi)
             out.append((name, coverage, toks[lo][1], toks[hi - 1][2]))
     return sorted(out, key=lambda x: x[2])
 
