@@ -20,23 +20,41 @@ MAX_BITS = 6.5
 BROADCAST_IDS = 1_000_000
 
 
+#: The columns of ``documents`` that stages use; all others pass through under any name.
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _passing(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` of ``docs`` with the columns that no stage uses under plain names, and the result under the old ones."""
+    inner = docs.toDF(*(c if c in USED else f"other_{k}" for k, c in enumerate(docs.columns)))
+    return stage(inner).select(*inner.columns).toDF(*docs.columns)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach, with ``lang`` as predicted.
 
     Rejected: a null text, one without a letter, and one that every model finds random. An empty input stays empty.
     """
     small_batches(spark)
-    told = language_id.identify(docs, language_id.train(docs))
-    kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_bits") <= MAX_BITS))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+    def stage(docs: DataFrame) -> DataFrame:
+        told = language_id.identify(docs, language_id.train(docs))
+        kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_bits") <= MAX_BITS))
+        return kept.withColumn("lang", F.col("lang_pred"))
+
+    return _passing(docs, stage)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that their source repeats; ``n_chars`` follows the text. None is dropped."""
-    out = line_dedup.drop_boilerplate(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+
+    def stage(docs: DataFrame) -> DataFrame:
+        out = line_dedup.drop_boilerplate(docs)
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        return out
+
+    return _passing(docs, stage)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,24 +63,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without a word, and rows without an id, are in no group and stay.
     """
     small_batches(spark)
-    groups = written(ngram_join.components_of(docs), "groups")
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
 
     def small(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
-    kept = docs.join(small(gone), "doc_id", "left_anti")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    again = small(written(again, "again"))
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    def stage(docs: DataFrame) -> DataFrame:
+        groups = written(ngram_join.components_of(docs), "groups")
+        gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+        again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        kept = docs.join(small(gone), "doc_id", "left_anti")
+        if again.isEmpty():
+            return kept
+        again = small(written(again, "again"))
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return kept.join(again, "doc_id", "left_anti").unionByName(once)
+
+    return _passing(docs, stage)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix by target weights: each document as often as its source's rate says, from not at all to three times."""
-    return mixing.repeat_copies(mixing.mix(docs)).select(*docs.columns)
+    return _passing(docs, lambda docs: mixing.repeat_copies(mixing.mix(docs)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ship import ship
 
-__all__ = ["SPACES", "WORD", "broadcast_if_small", "drop", "drop_written", "read_table", "shared_dir", "ship", "slices", "small_batches", "word_count", "written"]
+__all__ = ["SPACES", "WORD", "broadcast_if_small", "drop", "drop_written", "private", "read_table", "shared_dir", "ship", "slices", "small_batches", "word_count", "written"]
 
 #: A word is a run of code points other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,17 @@ _DEFAULT_BATCH = "67108864b"
 _written: dict[str, SparkSession] = {}
 
 
+def private(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of our own that none of ``columns`` has; Spark takes names of another case for the same."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

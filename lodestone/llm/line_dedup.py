@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read_table, written
+from .common import broadcast_if_small, private, read_table, written
 
 #: A line goes if more than this share of its host's pages contain it ...
 RATIO = 0.05
@@ -49,25 +49,29 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
 
     Lines are the pieces between line feeds; lines without a word are never dropped and the others keep their order and
     spelling. A null text stays null with 0 lines, an empty one stays empty. A null host is a host of its own, repeated rows
-    count as pages each, an empty table gives no rows. Other columns are kept; ``n_lines`` and ``n_dropped`` are replaced.
+    count as pages each, an empty table gives no rows. Other columns are kept, whatever their names; ``n_lines`` and
+    ``n_dropped`` are replaced.
 
     The lines to drop go to each task by broadcast where few hosts have few of them; beyond that documents are joined by
     host in a shuffle, where AQE splits a hot host.
     """
+    base = docs.drop("n_lines", "n_dropped")
+    plan_at, mine_at, kept_at = private([*base.columns, "n_lines", "n_dropped"], "plan", "mine", "kept")
     found = written(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
-    per_host = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop"))
+    per_host = found.groupBy("host").agg(F.collect_list("line").alias("lines")).select(F.struct("host", "lines").alias(plan_at))
     if found.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         per_host = broadcast_if_small(per_host, BROADCAST_HOSTS)
-    joined = docs.drop("n_lines", "n_dropped").join(per_host, docs[host_col].eqNullSafe(F.col("__host")), "left")
-    text = F.col(text_col)
-    mine = F.when(F.col("__drop").isNotNull(), F.array_intersect(F.transform(_lines(text), _key), F.col("__drop")))
-    marked = joined.withColumn("__mine", mine)
-    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("__mine"), _key(x)))
-    hit = F.size("__mine") > 0
+    joined = base.join(per_host, F.col(host_col).eqNullSafe(F.col(plan_at)["host"]), "left")
+    text, drop = F.col(text_col), F.col(plan_at)["lines"]
+    marked = joined.withColumn(mine_at, F.when(drop.isNotNull(), F.array_intersect(F.transform(_lines(text), _key), drop)))
+    kept = F.filter(_lines(text), lambda x: ~F.array_contains(F.col(mine_at), _key(x)))
+    hit = F.size(mine_at) > 0
+    cut = marked.withColumn(kept_at, F.when(hit, kept))
     n_lines = F.when(text.isNotNull(), F.regexp_count(text, F.lit("\n")) + 1).otherwise(0).cast("long")
-    cut = marked.withColumns({"n_lines": n_lines, "__kept": F.when(hit, kept)})
-    out = cut.withColumns({"n_dropped": F.when(hit, F.col("n_lines") - F.size("__kept")).otherwise(0).cast("long"), text_col: F.when(hit, F.array_join("__kept", "\n")).otherwise(text)})
-    return out.select(*docs.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
+    n_dropped = F.when(hit, n_lines - F.size(kept_at)).otherwise(0).cast("long")
+    shorter = F.when(hit, F.array_join(kept_at, "\n")).otherwise(text).alias(text_col)
+    columns = (shorter if c == text_col else F.col(f"`{c}`") for c in base.columns)
+    return cut.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

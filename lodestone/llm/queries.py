@@ -25,4 +25,6 @@ ORACLES: dict[str, str] = {
     "op1_url_filters": url_filters.OP1_ORACLE,
     "op2_quality_rules": quality_rules.OP2_ORACLE,
     "op6_line_dedup": line_dedup.OP6_ORACLE,
+    "op7_ngram_join": ngram_join.OP7_ORACLE,
+    "op9_embedding_dedup": embedding_dedup.OP9_ORACLE,
 }

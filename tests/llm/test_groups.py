@@ -298,6 +298,13 @@ def test_pipeline(spark, tmp_path):
     packed = cp.run(spark, str(tmp_path))
     assert packed.select("doc_id").distinct().count() == len({i for i, _ in kept["mixing"]})
     assert len(cp.STAGES) == 5
+    own = ["lang_pred", "lang_bits", "mix_rate", "mix_key", "__mine", "plan", "n_lines", "node", "component_id", "H1", "other_9"]
+    odd = docs.where("doc_id < 150").select("doc_id", *(F.concat_ws("-", "doc_id", F.lit(k)).alias(c) for k, c in enumerate(own)), *docs.columns[1:])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name
+        assert all(r[c] == f"{r['doc_id']}-{k}" for r in out.collect() for k, c in enumerate(own)), name
+    assert cp.STAGES[-1][1](spark, odd, str(tmp_path)).count() > 0
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0

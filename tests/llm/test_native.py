@@ -109,6 +109,67 @@ def test_mix(spark):
     assert {r["mix_copies"] for r in mixing.mix(docs.where("text is null or text = ''")).collect()} == {0}
 
 
+TARGETS = """
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS n, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+t(level, step) AS (
+  SELECT sum(n) / sum(w), 0 FROM s
+  UNION ALL SELECT (SELECT (sum(n) - sum(CASE WHEN 3 * n < level * w THEN 3 * n ELSE 0 END)) / sum(CASE WHEN 3 * n < level * w THEN 0 ELSE w END) FROM s), step + 1 FROM t WHERE step < 50)
+SELECT doc_id, size::BIGINT AS size, n::BIGINT AS source_size, least(3 * n, (SELECT max(level) FROM t) * w) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""
+
+
+def test_mixing_query(spark, duck):
+    """Sizes and targets of the registered query as in SQL; what is taken comes near each target and is a number of copies."""
+    out = QUERIES["op3_mixing"](spark, SF).cache()
+    same_rows(out.select("doc_id", "size", "source_size", "target"), duck, TARGETS)
+    by = {}
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in out.collect():
+        rate = r["target"] / r["source_size"]
+        assert r["taken"] in {r["size"] * int(rate), r["size"] * min(3, int(rate) + 1)}
+        x = by.setdefault(source[r["doc_id"]], [0, r["target"]])
+        x[0] += r["taken"]
+    for taken, target in by.values():
+        assert taken == pytest.approx(target, rel=0.1)
+    again = QUERIES["op3_mixing"](spark, SF)
+    assert sorted(out.collect()) == sorted(again.collect())
+    out.unpersist()
+
+
+def test_weights_over_ranges(spark):
+    """Places in the order of code points go on from one range of sources to the next."""
+    names = [f"s{k:03}" for k in range(200)] + ["Z", "é", "\U0001f600", "\uffee", None]
+    got = {r["source"]: r["weight"] for r in mixing.cycle_weights(spark.createDataFrame([(x, 1) for x in names], "source string, source_size long")).collect()}
+    order = [*sorted(x for x in names if x is not None), None]
+    assert got == {x: k % 3 + 1 for k, x in enumerate(order)}
+
+
+OURS = ["mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies", "mix_key", "mix_seed", "mix_source", "size", "key", "plan", "Plan_", "_plan", "r_source", "source_size", "target", "rate", "copy", "n_lines", "n_dropped", "mine", "kept", "host", "lines", "h", "line", "__host", "__drop", "__mine", "lang_pred", "a.b"]
+
+
+def test_clashing_names(spark):
+    """Columns named as those that operators add or use on the way: added ones are replaced, all others come back untouched."""
+    rows = [(i, "head\nline " * 3 + f"{i} w" * (i % 7), f"s{i % 3}", *(f"{i}-{k}" for k in range(len(OURS)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *OURS])
+    plain = docs.select("doc_id", "text", "source")
+    for run, added in ((mixing.mix, mixing.ADDED), (lambda d: line_dedup.drop_boilerplate(d, ratio=0.3), ("n_lines", "n_dropped"))):
+        got, want = run(docs), run(plain)
+        assert set(got.columns) == {*docs.columns, *added}
+        assert sorted(got.select("doc_id", "text", *added).collect()) == sorted(want.select("doc_id", "text", *added).collect())
+        for r in got.collect():
+            assert all(r[c] == f"{r['doc_id']}-{k}" for k, c in enumerate(OURS) if c not in added)
+    twice = mixing.mix(mixing.mix(docs))
+    assert sorted(map(repr, twice.select("doc_id", *mixing.ADDED).collect())) == sorted(map(repr, mixing.mix(plain).select("doc_id", *mixing.ADDED).collect()))
+    assert set(mixing.repeat_copies(twice).columns) == set(docs.columns) - set(mixing.ADDED)
+
+
+def test_mix_long_text(spark):
+    rows = [(1, "word " * 300_000, "a"), (2, "word", "a"), (3, "word " * 1000, "b")]
+    got = {r["doc_id"]: r["mix_size"] for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {1: 300_000, 2: 1, 3: 1000}
+
+
 # ---- line dedup
 
 

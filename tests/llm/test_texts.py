@@ -1,6 +1,7 @@
 """Quality rules, language ID, packing and license scans."""
 
 import re
+import random
 import struct
 import zlib
 from collections import Counter
@@ -181,9 +182,26 @@ def test_packing_cache_size_changes_nothing():
 
 
 def test_packing_query(spark):
-    for r in QUERIES["op5_packing"](spark, SF).limit(50).collect():
-        assert 0 <= r["ids_crc32"] < 2**32
-        assert r["length"] & (r["length"] - 1) == 0
+    """Every piece of the registered query against the tokenizer's ids of the whole text."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    by = {}
+    for r in QUERIES["op5_packing"](spark, SF).collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(by) == len(docs)
+    for d in docs:
+        want = [*tok.encode(d["text"] or "", add_special_tokens=False).ids, 2]
+        at = 0
+        for r in sorted(by[d["doc_id"]], key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"], r["offset"]) == (at, len(want), 0)
+            assert r["length"] & (r["length"] - 1) == 0 and r["length"] <= 4096
+            at += r["length"]
+            assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{r['length']}I", *want[r["start"] : at]))
+        assert at == len(want)
 
 
 # ---- licenses
@@ -236,9 +254,70 @@ def test_license_families(spark):
     assert [got.get(i, []) for i in range(len(cases))] == [[n] if n else [] for n, _ in cases[:-1]] + [[]]
 
 
+def common(a, b):
+    """Length of the longest common subsequence, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b):
+            last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k], row[k + 1])
+    return row[-1]
+
+
+def stated(text, coded):
+    """Names of the licenses that some window states, by exhaustive alignment: every window of every lead, then every name, the longest first."""
+    ws = [w for w, _, _ in license_scans.tokens(text)]
+    out = set()
+    for k in range(1, len(ws)):
+        cores = [(len(core), core, name) for cs in coded.names.values() for core, name in cs if tuple(ws[k : k + len(core)]) == core]
+        if cores:
+            _, _, name = max(cores)
+            for leads in coded.leads.values():
+                for lead in leads:
+                    if ws[k - 1] == lead[-1] and any(common(ws[lo:k], lead) >= license_scans.MIN_COVERAGE * len(lead) for lo in range(max(0, k - len(lead) - 2 - len(lead) // 4), k)):
+                        out.add(name)
+    return out
+
+
 def test_license_query(spark):
-    lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0", "MIT": "Released under the MIT License", "GPL-3.0": "licensed under the GNU General Public License, version 3", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0"}
-    want = {(r["doc_id"], k) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for k, x in lines.items() if x in r["text"]}
-    got = {(r["doc_id"], r["license"]) for r in QUERIES["op10_license_scans"](spark, SF).collect()}
+    """The registered query against exhaustive alignment: all documents that name a word of a lead, and each license stated there."""
+    coded = license_scans.default_templates()
+    got = {}
+    for r in QUERIES["op10_license_scans"](spark, SF).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    want = {r["doc_id"]: names for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"] and (names := stated(r["text"], coded))}
     assert want
-    assert want <= got
+    short = {i: x for i, names in got.items() if (x := {n for n in names if not n.endswith(("-header", "-text"))})}
+    assert short == want
+
+
+def test_license_whole_texts_by_alignment():
+    """Whole texts with words changed, dropped and put in, among other words: found if and only if enough words align."""
+    r = random.Random(5)
+    coded = license_scans.default_templates()
+    words = [f"x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
+    for name in ("MIT-text", "ISC-text", "BSD-2-Clause-text", "Apache-2.0-header"):
+        for share in (0.0, 0.05, 0.1, 0.3):
+            body = [w if r.random() >= share else r.choice(words) for w in coded.texts[name]]
+            text = " ".join([*r.choices(words, k=40), *body, *r.choices(words, k=40)])
+            covered = common(body, coded.texts[name]) / len(body)
+            found = {n for n, *_ in license_scans.detect(text, coded, license_scans.MIN_COVERAGE)}
+            if covered >= license_scans.MIN_COVERAGE + 0.03:
+                assert name in found, (name, share, covered)
+            if covered < license_scans.MIN_COVERAGE:
+                assert name not in found
+
+
+def test_many_statements_in_one_text():
+    """Time grows with the text, not with its square."""
+    import time
+
+    coded = license_scans.default_templates()
+    took = []
+    for n in (2000, 16000):
+        text = "Released under the MIT License. Some words. " * n
+        license_scans.detect(text[:5000], coded, license_scans.MIN_COVERAGE)
+        began = time.perf_counter()
+        assert len(license_scans.detect(text, coded, license_scans.MIN_COVERAGE)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0]
