@@ -9,7 +9,8 @@ Tiles of the same members count once. Chains of tiles form clusters; these are c
 block, sorted by size, the bits in which two hashed bitmaps differ bound the overlap from above, and what passes is decided by
 intersecting the sorted arrays. Sets already joined are not compared again. Clusters of several blocks are then closed tile by
 tile: where a tile holds several components, the bitmaps of its sets outside of the largest one are held against all others,
-in blocks dealt over tasks, and only pairs that pass the bound leave a task and have their arrays intersected.
+in blocks dealt over tasks, and only pairs that pass the bound leave a task and have their arrays intersected. A first round
+takes each set's likeliest partners alone, so that components join up before the second takes every pair between those left.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ BITS = 256, 1 << 18
 BLOCK = 256
 BLOCK_BYTES = 16 << 20
 LEADERS = 8
+#: Components to which the first round of the closing step tries to link a set; the second takes whatever is left.
+BEST = 4
 #: Sets of a tile in a block of bitmaps.
 TILE_BLOCK = 1024
 #: Documents in clusters whose places are broadcast (some 80 bytes each) to pick their texts; beyond that they are joined by shuffle.
@@ -220,8 +223,9 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "map"])
 
 
-def near_pairs(left: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Pairs of a row of ``left`` and one of the rest, of two components, whose sizes and bitmaps allow the similarity.
+def near_pairs(left: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, maps: list[np.ndarray], best: int | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of a row of ``left`` and one of the rest, of two components, whose sizes and bitmaps allow the similarity; with
+    ``best`` only those of the highest bounds for each row, with so many other components.
 
     Rows of ``left`` are outside of their tile's largest component; of the rest some may be, and such a pair counts once.
     Bitmaps of sizes that can be similar have as many bits, or twice as many, which are halved.
@@ -241,18 +245,27 @@ def near_pairs(left: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np
             like &= (100 * size[other] >= PERCENT * size[k]) & (PERCENT * size[other] <= 100 * size[k])
             q = np.flatnonzero(like)
             differ = np.bitwise_count(stack[q] ^ stack[p]).sum(axis=1, dtype=np.int64)
-            for j in other[q[_may_reach(differ, size[other[q]], size[k])]].tolist():
+            may = _may_reach(differ, size[other[q]], size[k])
+            hits = other[q[may]]
+            if best is not None and len(hits) > best:
+                hits = hits[np.argsort((differ[may] - size[hits]) / (size[hits] + size[k]), kind="stable")]
+                hits = hits[np.sort(np.unique(comp[hits], return_index=True)[1])[:best]]
+            for j in hits.tolist():
                 yield (int(node[k]), int(node[j]))
 
 
-def _bound_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bound_tiles(best: int | None):
     """Pairs that pass the bound, task by task of a tile: rows of side 0 against rows of side 1."""
-    for table in _runs(batches, ["tile", "i", "j"]):
-        left = table["side"].to_numpy() == 0
-        if left.any() and not left.all():
-            node, comp, size, outside = (table[c].to_numpy() for c in ("node", "comp", "n", "outside"))
-            maps = [np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()]
-            yield _pairs(sorted({(min(a, b), max(a, b)) for a, b in near_pairs(left, outside, node, comp, size, maps)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["tile", "i", "j"]):
+            left = table["side"].to_numpy() == 0
+            if left.any() and not left.all():
+                node, comp, size, outside = (table[c].to_numpy() for c in ("node", "comp", "n", "outside"))
+                maps = [np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()]
+                yield _pairs(sorted({(min(a, b), max(a, b)) for a, b in near_pairs(left, outside, node, comp, size, maps, best)}))
+
+    return run
 
 
 def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,18 +352,25 @@ def _links(docs: DataFrame, tiles: DataFrame) -> DataFrame:
     rows = rows.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block")
     links = written(rows.mapInArrow(_join_blocks, "a long, b long"), "joined")
 
-    wide = spread.where("blocks > 1").select("node").distinct()
-    if not wide.isEmpty():
-        found = components(links)
-        at = written(wide.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "wide")
-        links = links.unionByName(_across_blocks(docs, tiles, at))
-        drop(at)
+    wide = written(spread.where("blocks > 1").select("node").distinct(), "wide")
+    n_wide = wide.count()
+    if n_wide:
+        maps = written(_with_text(docs, wide, n_wide, _maps, "map").dropDuplicates(["node"]), "maps")
+        for best in (BEST, None):
+            at = written(wide.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "comps")
+            more = _across_blocks(docs, tiles, at, maps, best)
+            drop(at)
+            if more is None:
+                break
+            links = links.unionByName(more)
+        drop(maps)
+    drop(wide)
     drop(spread, tiles)
     return links
 
 
-def _across_blocks(docs: DataFrame, tiles: DataFrame, at: DataFrame) -> DataFrame:
-    """Links between the components of ``at`` (node, comp) that share a tile.
+def _across_blocks(docs: DataFrame, tiles: DataFrame, at: DataFrame, maps: DataFrame, best: int | None) -> DataFrame | None:
+    """Links between the components of ``at`` (node, comp) that share a tile, or None if no tile holds two; with ``best`` the likeliest.
 
     Of two components in a tile one is not its largest; so the pairs with a node outside of the largest are all that can be
     missing. A tile's outsiders and members are cut into blocks, and a task holds one block of each.
@@ -362,8 +382,9 @@ def _across_blocks(docs: DataFrame, tiles: DataFrame, at: DataFrame) -> DataFram
     blocks = mixed.select("tile", "main", F.ceil(F.col("members") / TILE_BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("inside")) / TILE_BLOCK).cast("int").alias("minor"))
     rows = held.join(blocks, "tile").withColumn("outside", F.col("comp") != F.col("main"))
     rows = written(rows.select("tile", "node", "n", "comp", "outside", "blocks", "minor"), "mixed")
-    ends = written(rows.select("node").distinct(), "ends")
-    maps = written(_with_text(docs, ends, ends.count(), _maps, "map").dropDuplicates(["node"]), "maps")
+    if rows.isEmpty():
+        drop(rows)
+        return None
 
     def dealt(own: str, others: str, first: bool):
         mine = F.pmod(F.xxhash64(F.lit(int(first)), "node"), F.col(own)).cast("int")
@@ -375,8 +396,8 @@ def _across_blocks(docs: DataFrame, tiles: DataFrame, at: DataFrame) -> DataFram
     total = rows.agg(F.coalesce(F.sum(F.size(tasks) * F.col("n") / 2), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BLOCK_BYTES)
     each = each.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    pairs = written(each.mapInArrow(_bound_tiles, "a long, b long").distinct(), "pairs")
-    drop(rows, ends, maps)
+    pairs = written(each.mapInArrow(_bound_tiles(best), "a long, b long").distinct(), "pairs")
+    drop(rows)
 
     ends = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
     arrays = written(_with_text(docs, ends, ends.count(), _arrays, "shingles").dropDuplicates(["node"]), "arrays")
