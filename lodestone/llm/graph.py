@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two aggregations and two joins on edges; only counts and checksums come to the driver. A node may have very
+Each round is two aggregations and two joins on edges, until all components are stars; no edge comes to the driver. A node may have very
 many edges: minima are combined before the shuffle, and the joins are salted by the other end of an edge.
 """
 
@@ -34,6 +34,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("m", "lo")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is either the end of one edge or the centre of some: then centres are components."""
+    ends = edges.select(F.col("hi").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("lo").alias("x"), F.lit(0).alias("up")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 or (up = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge to another; component is the smallest node that it reaches.
 
@@ -41,11 +47,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     one is written; the last one stays, since the result reads it.
     """
     pairs = edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    pairs, seen = written(pairs, "edges"), None
-    while True:
-        sign = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
-        if sign == seen:
-            return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
-        seen = sign
+    pairs = written(pairs, "edges")
+    while not _are_stars(pairs):
         last, pairs = pairs, written(_small_star(_large_star(pairs)), "edges")
         drop(last)
+    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

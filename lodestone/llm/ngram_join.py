@@ -223,11 +223,11 @@ def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "map"])
 
 
-def near_pairs(left: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, maps: list[np.ndarray], best: int | None = None) -> Iterator[tuple[int, int]]:
-    """Pairs of a row of ``left`` and one of the rest, of two components, whose sizes and bitmaps allow the similarity; with
+def near_pairs(left: np.ndarray, right: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np.ndarray, size: np.ndarray, maps: list[np.ndarray], best: int | None = None) -> Iterator[tuple[int, int]]:
+    """Places of a row of ``left`` and one of ``right``, of two components, whose sizes and bitmaps allow the similarity; with
     ``best`` only those of the highest bounds for each row, with so many other components.
 
-    Rows of ``left`` are outside of their tile's largest component; of the rest some may be, and such a pair counts once.
+    Rows of ``left`` are outside of their tile's largest component; of the others some may be, and such a pair counts once.
     Bitmaps of sizes that can be similar have as many bits, or twice as many, which are halved.
     """
     bits = np.array([len(m) for m in maps])
@@ -241,7 +241,7 @@ def near_pairs(left: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np
             k = at[p]
             # two sets of twice the bits meet at their own level
             other = own if p >= len(own) else at
-            like = ~left[other] & (comp[other] != comp[k]) & (~outside[other] | (node[other] > node[k]))
+            like = right[other] & (comp[other] != comp[k]) & (~outside[other] | (node[other] > node[k]))
             like &= (100 * size[other] >= PERCENT * size[k]) & (PERCENT * size[other] <= 100 * size[k])
             q = np.flatnonzero(like)
             differ = np.bitwise_count(stack[q] ^ stack[p]).sum(axis=1, dtype=np.int64)
@@ -251,19 +251,21 @@ def near_pairs(left: np.ndarray, outside: np.ndarray, node: np.ndarray, comp: np
                 hits = hits[np.argsort((differ[may] - size[hits]) / (size[hits] + size[k]), kind="stable")]
                 hits = hits[np.sort(np.unique(comp[hits], return_index=True)[1])[:best]]
             for j in hits.tolist():
-                yield (int(node[k]), int(node[j]))
+                yield (int(k), j)
 
 
 def _bound_tiles(best: int | None):
-    """Pairs that pass the bound, task by task of a tile: rows of side 0 against rows of side 1."""
+    """Pairs that pass the bound, with their components, task by task of a tile: outsiders against members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ["tile", "i", "j"]):
-            left = table["side"].to_numpy() == 0
-            if left.any() and not left.all():
-                node, comp, size, outside = (table[c].to_numpy() for c in ("node", "comp", "n", "outside"))
-                maps = [np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()]
-                yield _pairs(sorted({(min(a, b), max(a, b)) for a, b in near_pairs(left, outside, node, comp, size, maps, best)}))
+            node, comp, size, outside, side = (table[c].to_numpy() for c in ("node", "comp", "n", "outside", "side"))
+            maps = [np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()]
+            left, right = (side == 0) | ((side == 2) & outside), side != 0
+            if left.any() and right.any():
+                found = {(min(i, j, key=lambda k: node[k]), max(i, j, key=lambda k: node[k])) for i, j in near_pairs(left, right, outside, node, comp, size, maps, best)}
+                at = np.array(sorted(found), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[at[:, 0]], node[at[:, 1]], comp[at[:, 0]], comp[at[:, 1]])], names=["a", "b", "ca", "cb"])
 
     return run
 
@@ -320,7 +322,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folded = keyed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     tiles = _tiles(folded)
     drop(keyed)
-    found = components(_links(docs, tiles))
+    found = _joined(docs, tiles)
 
     reps = sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
     done = reps.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
@@ -328,8 +330,8 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return sets.select("doc_id", "n", key, "h2").join(done, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
-def _links(docs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(a, b): links that join up all nodes that reach each other. ``tiles`` is dropped."""
+def _joined(docs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(node, component) of all nodes with a link. ``tiles`` is dropped."""
     spark = docs.sparkSession
     # a node's smallest lead stands for it in its other tiles, so a large group has an edge per node and few between leads
     first = tiles.groupBy("node").agg(F.min("lead").alias("first"))
@@ -351,58 +353,74 @@ def _links(docs: DataFrame, tiles: DataFrame) -> DataFrame:
     rows = _with_text(docs, spread.select("node", "cluster", "block"), n_spread, _arrays, "shingles")
     rows = rows.repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block")
     links = written(rows.mapInArrow(_join_blocks, "a long, b long"), "joined")
+    found = components(links)
 
     wide = written(spread.where("blocks > 1").select("node").distinct(), "wide")
+    drop(spread)
     n_wide = wide.count()
     if n_wide:
-        maps = written(_with_text(docs, wide, n_wide, _maps, "map").dropDuplicates(["node"]), "maps")
-        for best in (BEST, None):
-            at = written(wide.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("comp")), "comps")
-            more = _across_blocks(docs, tiles, at, maps, best)
-            drop(at)
-            if more is None:
-                break
-            links = links.unionByName(more)
-        drop(maps)
-    drop(wide)
-    drop(spread, tiles)
-    return links
+        found = _closed(docs, tiles, wide, n_wide, found)
+    drop(wide, tiles)
+    return found
+
+
+def _closed(docs: DataFrame, tiles: DataFrame, wide: DataFrame, n_wide: int, found: DataFrame) -> DataFrame:
+    """``found`` (node, component) with the components joined that links between members of a tile join."""
+    maps = _with_text(docs, wide, n_wide, _maps, "map").dropDuplicates(["node"])
+    at = maps.join(found, "node", "left").select("node", "map", F.coalesce("component", "node").alias("comp"))
+    held = written(tiles.join(at, "node").select("tile", "node", "n", "comp", "map"), "held")
+    for best in (BEST, None):
+        more = _across_blocks(docs, held, best)
+        if more is None or more.isEmpty():
+            continue
+        moved = components(more).select(F.col("node").alias("comp"), F.col("component").alias("to"))
+        last, held = held, written(held.join(moved, "comp", "left").select("tile", "node", "n", F.coalesce("to", "comp").alias("comp"), "map"), "held")
+        drop(last, more)
+        # a component is named by its smallest node, which may have had no link so far
+        named = moved.select(F.col("comp").alias("node"), F.col("to").alias("component"))
+        renamed = found.join(moved, F.col("component") == F.col("comp"), "left").select("node", F.coalesce("to", "component").alias("component"))
+        found = written(renamed.unionByName(named).distinct(), "found")
+    drop(held)
+    return found
 
 
-def _across_blocks(docs: DataFrame, tiles: DataFrame, at: DataFrame, maps: DataFrame, best: int | None) -> DataFrame | None:
-    """Links between the components of ``at`` (node, comp) that share a tile, or None if no tile holds two; with ``best`` the likeliest.
+def _across_blocks(docs: DataFrame, held: DataFrame, best: int | None) -> DataFrame | None:
+    """Links (a, b) of components of ``held`` (tile, node, n, comp, map) that share a tile, or None if no tile holds two; with
+    ``best`` the likeliest.
 
     Of two components in a tile one is not its largest; so the pairs with a node outside of the largest are all that can be
     missing. A tile's outsiders and members are cut into blocks, and a task holds one block of each.
     """
     spark = docs.sparkSession
-    held = tiles.join(at, "node").select("tile", "node", "n", "comp")
-    count = held.groupBy("tile", "comp").agg(F.count("*").alias("m"))
-    mixed = count.groupBy("tile").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("inside"), F.sum("m").alias("members")).where("inside < members")
-    blocks = mixed.select("tile", "main", F.ceil(F.col("members") / TILE_BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("inside")) / TILE_BLOCK).cast("int").alias("minor"))
-    rows = held.join(blocks, "tile").withColumn("outside", F.col("comp") != F.col("main"))
-    rows = written(rows.select("tile", "node", "n", "comp", "outside", "blocks", "minor"), "mixed")
-    if rows.isEmpty():
-        drop(rows)
+    count = held.groupBy("tile", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("bytes"))
+    mixed = count.groupBy("tile").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("inside"), F.sum("m").alias("members"), F.sum("bytes").alias("bytes")).where("inside < members")
+    blocks = mixed.select("tile", "main", "bytes", F.ceil(F.col("members") / TILE_BLOCK).cast("int").alias("blocks"), F.ceil((F.col("members") - F.col("inside")) / TILE_BLOCK).cast("int").alias("minor"))
+    blocks = written(blocks, "mixed")
+    total = blocks.agg(F.sum(F.col("bytes") * F.greatest("blocks", "minor"))).first()[0]
+    if total is None:
+        drop(blocks)
         return None
-
-    def dealt(own: str, others: str, first: bool):
-        mine = F.pmod(F.xxhash64(F.lit(int(first)), "node"), F.col(own)).cast("int")
-        each = F.sequence(F.lit(0), F.col(others) - 1)
-        return F.transform(each, lambda k: F.struct((mine if first else k).alias("i"), (k if first else mine).alias("j"), F.lit(int(not first)).alias("side")))
-
-    tasks = F.concat(F.when(F.col("outside"), dealt("minor", "blocks", True)).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>")), dealt("blocks", "minor", False))
-    each = rows.withColumn("t", F.explode(tasks)).select("tile", "node", "n", "comp", "outside", "t.i", "t.j", "t.side").join(maps, "node")
-    total = rows.agg(F.coalesce(F.sum(F.size(tasks) * F.col("n") / 2), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // BLOCK_BYTES)
+    rows = held.join(blocks, "tile").withColumn("outside", F.col("comp") != F.col("main"))
+    mine = [F.pmod(F.xxhash64(F.lit(k), "node"), F.col(own)).cast("int") for k, own in enumerate(("minor", "blocks"))]
+
+    def dealt(i, j, side: int):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+
+    as_outsider = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: dealt(mine[0], k, 0))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("minor") - 1), lambda k: dealt(k, mine[1], 1))
+    # in a tile of one block a row comes once, and stands on both sides if it is an outsider
+    alone = F.array(dealt(F.lit(0), F.lit(0), 2))
+    tasks = F.when(F.col("blocks") == 1, alone).otherwise(F.concat(F.filter(as_outsider, lambda _: F.col("outside")), as_member))
+    each = rows.withColumn("t", F.explode(tasks)).select("tile", "node", "n", "comp", "outside", "t.i", "t.j", "t.side", "map")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES)
     each = each.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    pairs = written(each.mapInArrow(_bound_tiles(best), "a long, b long").distinct(), "pairs")
-    drop(rows)
+    pairs = written(each.mapInArrow(_bound_tiles(best), "a long, b long, ca long, cb long").dropDuplicates(["a", "b"]), "pairs")
+    drop(blocks)
 
     ends = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
     arrays = written(_with_text(docs, ends, ends.count(), _arrays, "shingles").dropDuplicates(["node"]), "arrays")
     both = pairs.join(arrays.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(arrays.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    more = written(both.select("a", "b", "sa", "sb").mapInArrow(_check_pairs, "a long, b long"), "more")
+    more = written(both.select("ca", "cb", "sa", "sb").mapInArrow(_check_pairs, "a long, b long"), "more")
     drop(pairs, ends, arrays)
     return more
 
