@@ -315,14 +315,11 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = written(docs.mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "keyed")
-    sets = written(keyed.drop("keys"), "sets")
+    sets = written(docs.mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long, keys array<long>"), "sets")
 
     # equal sets are one node, the smallest id; each map task first folds its own copies
-    folded = keyed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    tiles = _tiles(folded)
-    drop(keyed)
-    found = _joined(docs, tiles)
+    folded = sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    found = _joined(docs, _tiles(folded))
 
     reps = sets.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
     done = reps.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
