@@ -11,8 +11,9 @@ from lodestone.functions.text import label
 from lodestone.operators import export, ingest, metrics, mutations, queries
 from lodestone.operators.model import Model
 from lodestone.sources import files, listings
+from lodestone.streaming.ingest import stop_ingest
 
-__all__ = ["home", "notice", "categories", "dashboard", "admin_content", "edit_form", "add", "update", "delete", "post", "export_all", "retry_failed", "thumbs", "run_scraper", "category", "batches", "delete_batch", "delete_bulk", "export_batch", "pdf_path"]
+__all__ = ["home", "notice", "categories", "dashboard", "admin_content", "edit_form", "add", "update", "delete", "post", "export_all", "retry_failed", "thumbs", "run_scraper", "category", "batches", "delete_batch", "delete_bulk", "export_batch", "pdf_path", "stop_processing"]
 
 
 def home(n: DataFrame, page: int = 1, sort: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -80,6 +81,11 @@ def run_scraper(pages: DataFrame, n: DataFrame) -> DataFrame:
     return new.withColumn("file_name", archive_name(new["gazette_number"], new["gazette_date"]))
 
 
+def stop_processing(spark: SparkSession) -> bool:
+    """End the running ingest; whether there was one."""
+    return stop_ingest(spark)
+
+
 def category(n: DataFrame, name: str, page: int = 1, sort: str | None = None) -> tuple[DataFrame, DataFrame]:
     return queries.category_list(n, name, sort, page), queries.page_counts(queries.in_category(n, name))
 

@@ -23,6 +23,11 @@ def published_date(text: Column, gazette_date: Column, run_date: Column) -> Colu
     return F.when(~is_blank(text), F.coalesce(iso_date(text), run_date)).otherwise(F.coalesce(gazette_date, run_date))
 
 
+def year_of(c: Column) -> Column:
+    """The year of a date, as of the run's, under which listings are kept."""
+    return F.year(c)
+
+
 def short_stamp(c: Column) -> Column:
     return F.date_format(c, "MMM d, h:mm a")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import is_blank, strip_fence
+from lodestone.functions.text import is_blank, let, strip_fence
 
 
 def is_json(c: Column) -> Column:
@@ -37,10 +37,13 @@ def control_repair(c: Column) -> Column:
 
 def cut_object(c: Column) -> Column:
     """From the first ``{`` to the last ``}`` of an unfenced text; null where there is no such stretch."""
-    text = strip_fence(c)
-    start, end = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
-    found = (start > 0) & (F.instr(text, "}") > 0) & (end >= start)
-    return F.when(~is_blank(c) & found, F.substring(text, start, end - start + 1))
+
+    def of(text: Column) -> Column:
+        start, end = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+        found = (start > 0) & (F.instr(text, "}") > 0) & (end >= start)
+        return F.when(found, F.substring(text, start, end - start + 1))
+
+    return F.when(~is_blank(c), let(strip_fence(c), of))
 
 
 def safe_object(c: Column, legacy: bool = False) -> Column:
@@ -48,10 +51,14 @@ def safe_object(c: Column, legacy: bool = False) -> Column:
 
     The text is tried as it is and repaired only if that fails; ``legacy`` repairs first, which damages some valid texts.
     """
-    raw = cut_object(c)
-    fixed = common_repair(raw)
-    tries = ([] if legacy else [raw]) + [fixed, control_repair(fixed)]
-    return F.coalesce(*(F.when(is_json(x), x) for x in tries))
+
+    def valid(x: Column) -> Column:
+        return F.when(is_json(x), x)
+
+    def repaired(raw: Column) -> Column:
+        return let(common_repair(raw), lambda fixed: F.coalesce(valid(fixed), let(control_repair(fixed), valid)))
+
+    return let(cut_object(c), lambda raw: repaired(raw) if legacy else F.coalesce(valid(raw), repaired(raw)))
 
 
 def object_or_array(c: Column) -> Column:
@@ -59,6 +66,11 @@ def object_or_array(c: Column) -> Column:
     return F.when(F.regexp_like(F.schema_of_variant(F.try_parse_json(c)), F.lit("^(OBJECT|ARRAY)<")), c)
 
 
+def serialise(*fields: Column) -> Column:
+    """JSON text of an object with these fields; null fields are left out."""
+    return F.to_json(F.struct(*fields))
+
+
 def string_or(c: Column, path: str, default: Column | str) -> Column:
     """The value at a path as text; the default where it is missing or JSON null. An empty text stays empty."""
     return F.coalesce(F.get_json_object(c, path), F.lit(default) if isinstance(default, str) else default)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone import schema as S
 
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 _BOTH_ENDS = r"^[\x00-\x20]+|[\x00-\x20]+\z"
 
 
@@ -29,6 +37,29 @@ def strip_fence(c: Column) -> Column:
     return trim_ws(F.regexp_replace(c, r"(?s)```json\s*(.*?)\s*```", "$1"))
 
 
+def find_all(c: Column, pattern: str, group: int = 0) -> Column:
+    """All matches of a pattern, in order; null for null."""
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
+
+
+def has_prefix(c: Column, prefix: str) -> Column:
+    return F.startswith(c, F.lit(prefix))
+
+
+def has_part(c: Column, part: str) -> Column:
+    """Whether a text holds another, by code point."""
+    return F.contains(c, F.lit(part))
+
+
+def lowered(c: Column) -> Column:
+    return F.lower(c)
+
+
+def without(c: Column, part: str) -> Column:
+    """Less every occurrence of a literal text."""
+    return F.replace(c, F.lit(part), F.lit(""))
+
+
 def letters_only(c: Column) -> Column:
     return F.regexp_replace(c, "[^a-zA-Z_]", "")
 
@@ -95,7 +126,9 @@ def segments(text: Column, marker: str = S.NOTICE_MARKER) -> Column:
     flags = flags + ")" if flags else ""
     cut = F.split(text, f"{flags}(?={body})", -1)
     pieces = F.filter(F.transform(cut, trim_ws), lambda x: x != "")
-    first = F.element_at(pieces, 1)
-    preamble = (F.size(pieces) > 0) & ~F.regexp_like(first, F.lit(f"{flags}\\A(?:{body})"))
-    kept = F.when(preamble, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(pieces)
-    return F.when((F.size(kept) == 0) & ~is_blank(text), F.array(text)).otherwise(kept)
+
+    def less_preamble(pieces: Column) -> Column:
+        preamble = F.coalesce(~F.regexp_like(F.get(pieces, 0), F.lit(f"{flags}\\A(?:{body})")), F.lit(False))
+        return F.when(preamble, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).otherwise(pieces)
+
+    return let(let(pieces, less_preamble), lambda kept: F.when((F.size(kept) == 0) & ~is_blank(text), F.array(text)).otherwise(kept))

@@ -49,7 +49,11 @@ def write_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def post_rows(rows: DataFrame, send: Callable[[str], None]) -> None:
-    """Send each ``x_summary`` on the executors; ``send`` takes the text, and an error of one is swallowed like a lost post."""
+    """Send each ``x_summary`` on the executors; ``send`` takes the text, and an error of one is swallowed like a lost post.
+
+    Spark may run a task again, after a lost executor for instance, and its posts then go out again: a receiver that must not
+    see a post twice has to drop repeats.
+    """
 
     def each(part):
         for r in part:

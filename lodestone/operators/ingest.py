@@ -67,10 +67,17 @@ def _asked(rows: DataFrame, name: str, answer: Column, clean: Callable[[Column],
 
 
 def _narrated(rows: DataFrame, model: Model) -> DataFrame:
-    told = _asked(rows, "narrative", model.narrate(F.col("items"), F.col("category")), jsonfix.safe_object)
+    """Rows with a reason have nothing to tell of: their items are null to the model, and so is their narrative."""
+    good = F.when(F.col("reason").isNull(), F.col("items"))
+    told = _asked(rows, "narrative", model.narrate(good, F.col("category")), jsonfix.safe_object)
     return told.withColumn("narrative", F.when(F.col("reason").isNull(), F.col("narrative")))
 
 
+#: What assembly reads of a narrative and of an item.
+_TOLD = "title string, summary string, xSummary string, article string, actionableInfo string, significance string"
+_ITEM = "notice_id string, reference_number string, publication_date string, effective_date string, signatory string"
+
+
 def assemble(rows: DataFrame, run_date: str, run_ts: str) -> DataFrame:
     """Notice rows out of ``answers`` with header fields and ``original_pdf_path``; one select, no UDF.
 
@@ -78,42 +85,42 @@ def assemble(rows: DataFrame, run_date: str, run_ts: str) -> DataFrame:
     succeed. The extracted JSON is also kept in ``extracted`` so that a retry can read it.
     """
     today, now = F.lit(run_date).cast("date"), F.lit(run_ts).cast("timestamp_ntz")
-    reason, nar, items, raw = F.col("reason"), F.col("narrative"), F.col("items"), F.col("notice_text")
-    bad, told = reason.isNotNull(), nar.isNotNull()
-    one = jsonfix.first_item(items)
+    rows = rows.withColumns({"__told": F.from_json("narrative", _TOLD), "__one": F.from_json(jsonfix.first_item(F.col("items")), _ITEM)})
+    reason, nar, items, raw, one = F.col("reason"), F.col("__told"), F.col("items"), F.col("notice_text"), F.col("__one")
+    bad, told = reason.isNotNull(), F.col("narrative").isNotNull()
 
-    def said(path: str, default: Column | str) -> Column:
-        return text.strip_nul(jsonfix.string_or(nar, path, default))
+    def said(name: str, default: Column | str) -> Column:
+        return text.strip_nul(F.coalesce(nar[name], F.lit(default) if isinstance(default, str) else default))
 
     def pick(fallback: Column | str, success: Column, generation: Column | str) -> Column:
         lit = lambda x: F.lit(x) if isinstance(x, str) else x
         return F.when(bad, lit(fallback)).when(told, success).otherwise(lit(generation))
 
-    number = jsonfix.string_or(one, "$.notice_id", jsonfix.string_or(one, "$.reference_number", ""))
+    number = F.coalesce(one["notice_id"], one["reference_number"], F.lit(""))
     number = F.when(number == "", text.find_number(raw)).otherwise(number)
-    date = jsonfix.string_or(one, "$.publication_date", jsonfix.string_or(one, "$.effective_date", ""))
+    date = F.coalesce(one["publication_date"], one["effective_date"], F.lit(""))
     fb, ga, pa, ti = S.PROCESSING_FAILED_ARTICLE, S.GENERATION_FAILED_ARTICLE, S.REASON_PREFIX, S.GENERATION_FAILED_TITLE
     return rows.select(
         *[c for c in ("id", "doc_id") if c in rows.columns],
-        pick(S.PROCESSING_FAILED_TITLE, said("$.title", S.UNTITLED), F.concat(F.lit(ti[0]), F.col("category"), F.lit(ti[1]))).alias("title"),
+        pick(S.PROCESSING_FAILED_TITLE, said("title", S.UNTITLED), F.concat(F.lit(ti[0]), F.col("category"), F.lit(ti[1]))).alias("title"),
         F.when(bad, S.FALLBACK_CATEGORY).otherwise(F.col("category")).alias("category"),
         F.when(~bad, text.strip_nul(number)).alias("notice_number"),
-        F.when(~bad, text.strip_nul(jsonfix.string_or(one, "$.signatory", ""))).alias("signatory"),
+        F.when(~bad, text.strip_nul(F.coalesce(one["signatory"], F.lit("")))).alias("signatory"),
         "source_order",
         "gazette_volume",
         "gazette_number",
         "gazette_date",
         F.coalesce(text.strip_nul(raw), F.lit(S.NULL_CONTENT)).alias("content"),
-        pick(F.concat(F.lit(pa), reason), said("$.summary", S.NO_SUMMARY), S.GENERATION_FAILED_SUMMARY).alias("summary"),
-        pick(S.PROCESSING_FAILED_X, said("$.xSummary", ""), "").alias("x_summary"),
-        pick(F.concat(F.lit(fb[0]), reason, F.lit(fb[1])), said("$.article", items), F.concat(F.lit(ga[0]), text.strip_nul(items), F.lit(ga[1]))).alias("article"),
-        F.when(bad, F.lit(None)).when(told, said("$.actionableInfo", "")).otherwise(S.GENERATION_FAILED_ACTION).alias("actionable_info"),
+        pick(F.concat(F.lit(pa), reason), said("summary", S.NO_SUMMARY), S.GENERATION_FAILED_SUMMARY).alias("summary"),
+        pick(S.PROCESSING_FAILED_X, said("xSummary", ""), "").alias("x_summary"),
+        pick(F.concat(F.lit(fb[0]), reason, F.lit(fb[1])), said("article", items), F.concat(F.lit(ga[0]), text.strip_nul(items), F.lit(ga[1]))).alias("article"),
+        F.when(bad, F.lit(None)).when(told, said("actionableInfo", "")).otherwise(S.GENERATION_FAILED_ACTION).alias("actionable_info"),
         F.when(bad, today).otherwise(dates.published_date(date, F.col("gazette_date"), today)).alias("published_date"),
         now.alias("system_published_at"),
         now.alias("last_updated_at"),
         F.when(~bad & told, S.SUCCESS).otherwise(S.FAILED).alias("status"),
         "original_pdf_path",
-        F.when(bad, 0).when(told, dates.int_or(F.get_json_object(nar, "$.significance"), S.DEFAULT_SIGNIFICANCE)).otherwise(S.DEFAULT_SIGNIFICANCE).alias("significance_rating"),
+        F.when(bad, 0).when(told, dates.int_or(nar["significance"], S.DEFAULT_SIGNIFICANCE)).otherwise(S.DEFAULT_SIGNIFICANCE).alias("significance_rating"),
         items.alias("extracted"),
     )
 
@@ -148,9 +155,18 @@ def ingest(docs: DataFrame, run_date: str, run_ts: str, model: Model | None = No
     A document with null text gives no rows. With a model that is not deterministic, write the result before using it twice.
     """
     model = model or StubModel()
+    return notices_of(with_header(docs, model), run_date, run_ts, model, marker)
+
+
+def with_header(docs: DataFrame, model: Model) -> DataFrame:
+    """Documents with volume, number and date of their issue."""
     headed = _asked(docs, "__h", model.header(F.col("text")), jsonfix.safe_object)
     header = F.when(~text.is_blank(F.col("text")), F.col("__h"))
-    headed = headed.withColumns(header_fields(header)).drop("__h")
+    return headed.withColumns(header_fields(header)).drop("__h")
+
+
+def notices_of(headed: DataFrame, run_date: str, run_ts: str, model: Model, marker: str = S.NOTICE_MARKER) -> DataFrame:
+    """Notice rows of documents with header fields."""
     return checked(assemble(answers(segment(headed, marker=marker), model), run_date, run_ts))
 
 
@@ -161,14 +177,14 @@ def run(docs: DataFrame, path: str, run_date: str, run_ts: str, model: Model | N
 
 
 def regenerate(failed: DataFrame, run_date: str, run_ts: str, model: Model | None = None) -> DataFrame:
-    """Second pass over failed rows: those with extracted data get a new narrative, the others are extracted anew."""
+    """Second pass over failed rows: those with extracted data get a new narrative alone, the others are asked for anew."""
     model = model or StubModel()
-    rows = failed.select("id", F.col("content").alias("notice_text"), "source_order", "gazette_volume", "gazette_number", "gazette_date", "original_pdf_path", F.col("category").alias("old"), "extracted")
-    again = answers(rows.drop("old", "extracted"), model).select("id", F.col("category").alias("__c"), F.col("wrapper").alias("__w"), F.col("items").alias("__i"), F.col("reason").alias("__r"))
-    joined = rows.join(again, "id")
-    have = F.col("extracted").isNotNull()
-    merged = joined.select("id", "notice_text", "source_order", "gazette_volume", "gazette_number", "gazette_date", "original_pdf_path", F.when(have, F.col("old")).otherwise(F.col("__c")).alias("category"), F.coalesce("extracted", "__i").alias("items"), F.when(~have, F.col("__r")).alias("reason"))
-    return assemble(_narrated(merged, model), run_date, run_ts)
+    base = ["id", "notice_text", "source_order", "gazette_volume", "gazette_number", "gazette_date", "original_pdf_path"]
+    rows = failed.withColumnRenamed("content", "notice_text")
+    anew = answers(rows.where("extracted is null").select(*base), model)
+    kept = rows.where("extracted is not null").select(*base, "category", F.col("extracted").alias("items"), F.lit(None).cast("string").alias("reason"))
+    columns = [*base, "category", "items", "reason", "narrative"]
+    return assemble(anew.select(*columns).unionByName(_narrated(kept, model).select(*columns)), run_date, run_ts)
 
 
 def retry(notices: DataFrame, run_date: str, run_ts: str, model: Model | None = None) -> DataFrame:

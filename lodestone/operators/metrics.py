@@ -52,6 +52,15 @@ def failure_reasons(n: DataFrame) -> DataFrame:
     return failed(n).groupBy(failure_reason(F.col("summary")).alias("reason")).agg(F.count("*").alias("notices"))
 
 
+def status_split(n: DataFrame) -> DataFrame:
+    return n.groupBy("status").agg(F.count("*").alias("notices"))
+
+
+def counter_sums(n: DataFrame, *names: str) -> DataFrame:
+    """One row of the sums of counters, as longs."""
+    return n.agg(*(F.sum(F.col(c).cast("long")).alias(c) for c in names))
+
+
 def category_counts(n: DataFrame) -> DataFrame:
     return with_category(succeeded(n)).groupBy("category").agg(F.count("*").alias("notices"))
 

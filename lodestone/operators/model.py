@@ -7,6 +7,7 @@ non-deterministic, and callers write its answers once (``ingest.run`` does) befo
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -25,12 +26,12 @@ class Model(Protocol):
     def narrate(self, items: Column, category: Column) -> Column: ...
 
 
-# Words that speak for a category.
+#: Cues of the stand-in, of our own choice; a caller may give others.
 HINTS: dict[str, tuple[str, ...]] = {
-    "Tenders": ("invitation to tender", "procurement", "bids", "disposal of assets"),
-    "Land_Property": ("issue of land title", "land acquisition", "eia", "provisional certificate", "replacement title", "replacement of lost", "certificate of lease", "lost title deed"),
-    "Court_Legal": ("insolvency", "probate", "cause list", "dissolution of marriage"),
-    "Company_Registrations": ("incorporation", "dissolution of company"),
+    "Tenders": ("sealed tender", "quotation for", "supply and delivery"),
+    "Land_Property": ("parcel of land", "land registrar", "plot number"),
+    "Court_Legal": ("high court", "estate of the late", "petitioner"),
+    "Company_Registrations": ("companies act", "registrar of companies", "struck off the register"),
 }
 
 
@@ -56,7 +57,7 @@ class StubModel:
         return out
 
     def extract(self, text: Column, category: Column) -> Column:
-        item = F.struct(F.nullif(F.regexp_extract(text, S.NOTICE_NUMBER, 1), F.lit("")).alias("notice_id"), head(text, 40).alias("brief_text"))
+        item = F.struct(F.nullif(F.regexp_extract(text, S.NOTICE_NUMBER, 1), F.lit("")).alias("notice_id"), text.alias("brief_text"))
         return F.when(F.length(text) > 0, F.to_json(F.struct(item.alias("items"))))
 
     def narrate(self, items: Column, category: Column) -> Column:
@@ -65,7 +66,10 @@ class StubModel:
 
 
 class CallModel:
-    """A client as a model: ``ask(step, inputs)`` answers a batch of prompts' inputs and does its own retries and pauses."""
+    """A client as a model: ``ask(step, inputs)`` answers a batch of prompts' inputs; see ``patient`` for retries and pauses.
+
+    A row whose first input is null is not asked for, and its answer is null.
+    """
 
     def __init__(self, ask: Callable[[str, list[tuple[str | None, ...]]], list[str | None]]):
         self.ask = ask
@@ -76,7 +80,13 @@ class CallModel:
         @F.pandas_udf("string")
         def answer(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for p in parts:
-                yield pd.Series(ask(step, list(zip(*p, strict=True))), dtype=object)
+                rows = [tuple(None if x is pd.NA or x != x else x for x in r) for r in zip(*p, strict=True)]
+                asked = [k for k, r in enumerate(rows) if r[0] is not None]
+                out: list[str | None] = [None] * len(rows)
+                if asked:
+                    for k, x in zip(asked, ask(step, [rows[k] for k in asked]), strict=True):
+                        out[k] = x
+                yield pd.Series(out, dtype=object)
 
         # a struct of one keeps the iterator-of-tuples form for any number of inputs
         return answer.asNondeterministic()(*(cols if len(cols) > 1 else (cols[0], F.lit(step))))
@@ -92,3 +102,25 @@ class CallModel:
 
     def narrate(self, items: Column, category: Column) -> Column:
         return self._call("narrate", items, category)
+
+
+def patient(ask: Callable[[str, list[tuple[str | None, ...]]], list[str | None]], attempts: int = 3, first_pause: float = 2.0, between: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Callable[[str, list[tuple[str | None, ...]]], list[str | None]]:
+    """``ask`` with a call policy: after a failure it pauses, twice as long each time, up to ``attempts`` calls; then, and at once
+    where permission is denied, the inputs' answers are null. ``between`` is the pause before each batch, to spare the service.
+    """
+
+    def call(step: str, inputs: list[tuple[str | None, ...]]) -> list[str | None]:
+        sleep(between)
+        pause = first_pause
+        for k in range(attempts):
+            try:
+                return ask(step, inputs)
+            except PermissionError:
+                break
+            except Exception:  # noqa: BLE001 - whatever a client raises counts as a failed call
+                if k + 1 < attempts:
+                    sleep(pause)
+                    pause *= 2
+        return [None] * len(inputs)
+
+    return call

@@ -41,15 +41,15 @@ def count_events(events: DataFrame, id_col: str = "user_id", kind_col: str = "ev
 
 
 def apply_events(n: DataFrame, events: DataFrame, id_col: str = "user_id", kind_col: str = "event_type") -> DataFrame:
-    """Counters plus new events; rows without an event stay as they are."""
+    """Counters, as longs, plus new events; rows without an event keep theirs."""
     added = count_events(events, id_col, kind_col).select("id", *(F.col(c).alias(f"__{c}") for c in COUNTERS.values()))
     joined = n.join(added, "id", "left")
-    return joined.withColumns({c: (F.col(c) + F.coalesce(F.col(f"__{c}"), F.lit(0))).cast("int") for c in COUNTERS.values()}).select(*n.columns)
+    return joined.withColumns({c: (F.col(c) + F.coalesce(F.col(f"__{c}"), F.lit(0))).cast("long") for c in COUNTERS.values()}).select(*n.columns)
 
 
 def view(n: DataFrame, notice_id: int) -> DataFrame:
     """The row of an id as it reads after one more view; no row where the id is absent. The view itself is an event to append."""
-    return n.where(F.col("id") == notice_id).withColumn("view_count", (F.col("view_count") + 1).cast("int"))
+    return n.where(F.col("id") == notice_id).withColumn("view_count", F.col("view_count").cast("long") + 1)
 
 
 def retry_merge(old: DataFrame, new: DataFrame) -> DataFrame:

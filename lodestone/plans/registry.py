@@ -60,7 +60,7 @@ _on_notices("f5_issue_exists", lambda n: queries.first_of_issue(n, "src3", "2024
 _on_notices("f6_by_path", lambda n: queries.by_path(n, "/store/src7.pdf"), _list("original_pdf_path = '/store/src7.pdf'"))
 _on_notices("f7_with_path", queries.with_path, _list("original_pdf_path IS NOT NULL"))
 _on_notices("f8_by_id", lambda n: queries.by_id(n, 42), _list("id = 42"))
-_on_notices("f9_status_split", lambda n: n.groupBy("status").agg(F.count("*").alias("notices")), "SELECT status, count(*) AS notices FROM notices GROUP BY status", None)
+_on_notices("f9_status_split", metrics.status_split, "SELECT status, count(*) AS notices FROM notices GROUP BY status", None)
 _on_notices("f10_liked", queries.liked, _list("thumbs_up > 0"))
 _on_notices("f11_with_category", queries.with_category, _list("category IS NOT NULL"))
 _on_notices("f12_significance_badge", lambda n: n.select("id", queries.is_significant().alias("badge")), "SELECT id, significance_rating >= 8 AS badge FROM notices", None)
@@ -94,7 +94,7 @@ _ROLLUP = "SELECT original_pdf_path, gazette_date, gazette_number, count(*) AS n
 _TOTALS = "count(*) AS total, count_if(status = 'FAILED')::BIGINT AS failed, count_if(status = 'SUCCESS')::BIGINT AS successful, CASE WHEN count(*) > 0 THEN count_if(status = 'SUCCESS')::DOUBLE / count(*) * 100 ELSE 0 END AS success_rate"
 _SUMS = f"coalesce(sum(view_count) FILTER ({_OK}), 0)::BIGINT AS views, coalesce(sum(thumbs_up) FILTER ({_OK}), 0)::BIGINT AS thumbs_up, coalesce(sum(thumbs_down) FILTER ({_OK}), 0)::BIGINT AS thumbs_down, (coalesce(sum(view_count) FILTER ({_OK}), 0) + coalesce(sum(thumbs_up) FILTER ({_OK}), 0) + coalesce(sum(thumbs_down) FILTER ({_OK}), 0))::BIGINT AS engagement"
 _on_notices("a1_batch_rollup", metrics.batch_rollup, _ROLLUP, None)
-_on_notices("o14_batch_order", lambda n: metrics.batch_rollup(n).limit(10), f"{_ROLLUP} ORDER BY gazette_date DESC NULLS FIRST, gazette_number DESC NULLS FIRST, original_pdf_path LIMIT 10", None)
+_on_notices("o14_batch_order", metrics.batch_rollup, f"{_ROLLUP} ORDER BY gazette_date DESC NULLS FIRST, gazette_number DESC NULLS FIRST, original_pdf_path", None)
 _on_notices("f15_batch_projection", lambda n: metrics.batch_rollup(n).select("original_pdf_path", "notice_count"), f"SELECT original_pdf_path, notice_count FROM ({_ROLLUP})", None)
 _on_notices("f16_batch_has_failures", lambda n: queries.batch_has_failures(metrics.batch_rollup(n)), f"SELECT *, failed_count > 0 AS has_failures FROM ({_ROLLUP})", None)
 _on_notices("a2_kpi_totals", metrics.kpi_totals, f"SELECT {_TOTALS} FROM notices", None)
@@ -114,26 +114,36 @@ def _labelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
 
 
-def _edits(n: DataFrame) -> DataFrame:
-    return n.where("id % 7 = 0").select("id", F.concat(F.lit("Edited "), F.col("title")).alias("title"), F.lit("https://example.org/").alias("link"))
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notice with a toxic label gets another title and a link."""
+    n = sample_notices(spark, sf_dir)
+    edits = n.join(_labelled_ids(spark, sf_dir), "id").select("id", F.concat(F.lit("Edited "), F.col("title")).alias("title"), F.lit("https://example.org/").alias("link"))
+    return mutations.edit(n, edits).select(*_W)
+
+
+def _later(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every notice with a toxic label has a later version."""
+    n = sample_notices(spark, sf_dir)
+    return mutations.latest(n, n.join(_labelled_ids(spark, sf_dir), "id").select(*n.columns).withColumn("title", F.lit("Later"))).select("id", "title")
 
 
 def _regenerated(n: DataFrame) -> DataFrame:
-    return queries.failed(n).where("id % 2 = 0").withColumns({"title": F.lit("Again"), "status": F.lit(S.SUCCESS), "gazette_number": F.lit(None).cast("string")})
+    return queries.failed(n).withColumns({"title": F.lit("Again"), "status": F.lit(S.SUCCESS), "gazette_number": F.lit(None).cast("string")})
 
 
 _on_notices("w1_delete_by_id", lambda n: mutations.delete_by_id(n, 42), _list("id <> 42"))
 _put("w2_delete_by_ids", lambda s, d: mutations.delete_by_ids(sample_notices(s, d), _labelled_ids(s, d)).select(*queries.LIST_COLUMNS), f"{SAMPLE_SQL}{_list('id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)')}")
 _on_notices("w3_delete_batch", lambda n: mutations.delete_batch(n, "/store/src5.pdf"), _list("original_pdf_path IS DISTINCT FROM '/store/src5.pdf'"))
-_on_notices("w4_edit", lambda n: mutations.edit(n, _edits(n)), "SELECT id, CASE WHEN id % 7 = 0 THEN 'Edited ' || title ELSE title END AS title, CASE WHEN id % 7 = 0 THEN 'https://example.org/' END AS link, status, thumbs_up, thumbs_down, view_count, gazette_number FROM notices", _W)
+_TOXIC = "id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+_put("w4_edit", _edited, f"{SAMPLE_SQL}SELECT id, CASE WHEN {_TOXIC} THEN 'Edited ' || title ELSE title END AS title, CASE WHEN {_TOXIC} THEN 'https://example.org/' END AS link, status, thumbs_up, thumbs_down, view_count, gazette_number FROM notices")
 _put(
     "w5_apply_events",
     lambda s, d: mutations.apply_events(sample_notices(s, d), _table(s, d, "events")).select("id", "view_count", "thumbs_up", "thumbs_down"),
-    f"{SAMPLE_SQL}SELECT id, view_count * 2 AS view_count, thumbs_up * 2 AS thumbs_up, thumbs_down * 2 AS thumbs_down FROM notices",
+    f"{SAMPLE_SQL}SELECT id, (view_count * 2)::BIGINT AS view_count, (thumbs_up * 2)::BIGINT AS thumbs_up, (thumbs_down * 2)::BIGINT AS thumbs_down FROM notices",
 )
-_on_notices("w6_view", lambda n: mutations.view(n, 42), "SELECT id, view_count + 1 AS view_count FROM notices WHERE id = 42", ["id", "view_count"])
-_on_notices("w7_retry_merge", lambda n: mutations.retry_merge(n, _regenerated(n)), "SELECT id, CASE WHEN status = 'FAILED' AND id % 2 = 0 THEN 'Again' ELSE title END AS title, link, CASE WHEN status = 'FAILED' AND id % 2 = 0 THEN 'SUCCESS' ELSE status END AS status, thumbs_up, thumbs_down, view_count, gazette_number FROM notices", _W)
-_on_notices("k1_latest_version", lambda n: mutations.latest(n, n.where("id % 5 = 0").withColumn("title", F.lit("Later"))), "SELECT id, CASE WHEN id % 5 = 0 THEN 'Later' ELSE title END AS title FROM notices", ["id", "title"])
+_on_notices("w6_view", lambda n: mutations.view(n, 42), "SELECT id, (view_count + 1)::BIGINT AS view_count FROM notices WHERE id = 42", ["id", "view_count"])
+_on_notices("w7_retry_merge", lambda n: mutations.retry_merge(n, _regenerated(n)), "SELECT id, CASE WHEN status = 'FAILED' THEN 'Again' ELSE title END AS title, link, 'SUCCESS' AS status, thumbs_up, thumbs_down, view_count, gazette_number FROM notices", _W)
+_put("k1_latest_version", _later, f"{SAMPLE_SQL}SELECT id, CASE WHEN {_TOXIC} THEN 'Later' ELSE title END AS title FROM notices")
 
 # ---- scans and sinks
 _put("s10_scan", lambda s, d: _table(s, d, "documents").select("doc_id", "source", "n_chars"), "SELECT doc_id, source, n_chars FROM documents")
@@ -177,20 +187,27 @@ def _on_documents(name: str, columns: dict[str, Callable[[], object]], sql: str)
 
 
 _T = lambda: F.col("text")
-_on_documents("t1_find_all", {"matches": lambda: F.size(F.regexp_extract_all(_T(), F.lit(r"(?i)\bthe\b"), F.lit(0)))}, r"len(regexp_extract_all(text, '(?i)\bthe\b'))::INT AS matches")
-_on_documents("t2_capture", {"word": lambda: F.regexp_extract(_T(), r"(?i)the ([a-z]+)", 1)}, "regexp_extract(text, '(?i)the ([a-z]+)', 1) AS word")
-_on_documents("t3_letters_only", {"letters": lambda: text.letters_only(text.head(_T(), 200))}, "regexp_replace(substr(text, 1, 200), '[^a-zA-Z_]', '', 'g') AS letters")
-_on_documents("t4_strip_fence", {"body": lambda: text.strip_fence(F.concat(F.lit("```json\n"), text.head(_T(), 50), F.lit("\n```")))}, r"regexp_replace(substr(text, 1, 50), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS body")
-_on_documents("t5_literal_replace", {"clean": lambda: F.replace(text.strip_nul(text.head(_T(), 200)), F.lit("the"), F.lit(""))}, "replace(substr(text, 1, 200), 'the', '') AS clean")
-_on_documents("t6_prefix", {"hit": lambda: _T().startswith("The ")}, "starts_with(text, 'The ') AS hit")
+
+
+def _digest(c):
+    """Whole texts compare by their digests, so that rows stay small."""
+    return F.md5(c.cast("binary"))
+
+
+_on_documents("t1_find_all", {"matches": lambda: F.size(text.find_all(_T(), r"(?i)\bthe\b"))}, r"len(regexp_extract_all(text, '(?i)\bthe\b'))::INT AS matches")
+_on_documents("t2_capture", {"word": lambda: text.find_number(_T(), r"(?i)the ([a-z]+)")}, "regexp_extract(text, '(?i)the ([a-z]+)', 1) AS word")
+_on_documents("t3_letters_only", {"letters": lambda: _digest(text.letters_only(_T()))}, "md5(regexp_replace(text, '[^a-zA-Z_]', '', 'g')) AS letters")
+_on_documents("t4_strip_fence", {"body": lambda: _digest(text.strip_fence(F.concat(F.lit("```json\n"), _T(), F.lit("\n```"))))}, r"md5(regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS body")
+_on_documents("t5_literal_replace", {"clean": lambda: _digest(text.without(text.strip_nul(_T()), "the"))}, "md5(replace(text, 'the', '')) AS clean")
+_on_documents("t6_prefix", {"hit": lambda: text.has_prefix(_T(), "The ")}, "starts_with(text, 'The ') AS hit")
 _on_documents("t7_head", {"triage": lambda: F.md5(text.head(_T(), S.TRIAGE_CHARS).cast("binary"))}, "md5(substr(text, 1, 4000)) AS triage")
 _on_documents("t8_truncate", {"n": lambda: F.length(text.truncate(_T(), 1000))}, "CASE WHEN length(text) > 1000 THEN 1014 ELSE length(text) END::INT AS n")
 _on_documents("t10_trim", {"trimmed": lambda: F.md5(text.trim_ws(_T()).cast("binary"))}, r"md5(regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS trimmed")
 _on_documents("t11_blank", {"blank": lambda: text.is_blank(_T())}, r"coalesce(NOT regexp_matches(text, '[^\s\pZ]'), true) AS blank")
 _on_documents("t13_listing_number", {"number": lambda: text.listing_number(F.concat(F.lit(S.LISTING_PREFIX), F.col("source"), F.lit(" ")))}, "source AS number")
 _on_documents("t14_label", {"label": lambda: text.label(F.concat_ws("_", "lang", "source"))}, "lang || ' ' || source AS label")
-_on_documents("t15_lower", {"low": lambda: F.md5(F.lower(text.head(_T(), 100)).cast("binary"))}, "md5(lower(substr(text, 1, 100))) AS low")
-_on_documents("t16_contains", {"hit": lambda: F.contains(_T(), F.lit("token"))}, "contains(text, 'token') AS hit")
+_on_documents("t15_lower", {"low": lambda: _digest(text.lowered(_T()))}, "md5(lower(text)) AS low")
+_on_documents("t16_contains", {"hit": lambda: text.has_part(_T(), "token")}, "contains(text, 'token') AS hit")
 _on_notices("t9_or_empty", lambda n: n.select("id", text.or_empty(F.col("signatory")).alias("signatory")), "SELECT id, coalesce(signatory, '') AS signatory FROM notices", None)
 _on_notices("t12_safe_name", lambda n: n.select("id", text.archive_name(F.concat(F.lit("Vol. "), F.col("gazette_number")), F.col("gazette_date")).alias("name")), "SELECT id, 'Kenya_Gazette_Vol__' || gazette_number || '_Dated_' || coalesce(gazette_date::VARCHAR, 'Unknown_Date') || '.pdf' AS name FROM notices", None)
 _on_notices("t17_export_name", lambda n: n.select("id", text.export_name(F.col("original_pdf_path")).alias("name")), "SELECT id, 'Export_' || replace(string_split(original_pdf_path, '/')[-1], '.pdf', '') || '.csv' AS name FROM notices", None)
@@ -203,13 +220,13 @@ _on_notices(
     "SELECT id, CASE id % 3 WHEN 0 THEN DATE '2024-05-06' WHEN 1 THEN DATE '2025-01-01' ELSE coalesce(gazette_date, DATE '2025-01-01') END AS day FROM notices",
     None,
 )
-_on_notices("d5_year", lambda n: n.groupBy(F.year("published_date").alias("year")).agg(F.count("*").alias("notices")), "SELECT year(published_date)::INT AS year, count(*) AS notices FROM notices GROUP BY 1", None)
+_on_notices("d5_year", lambda n: n.groupBy(dates.year_of(F.col("published_date")).alias("year")).agg(F.count("*").alias("notices")), "SELECT year(published_date)::INT AS year, count(*) AS notices FROM notices GROUP BY 1", None)
 _on_notices("d7_display", lambda n: n.select("id", dates.short_stamp(F.col("system_published_at")).alias("short"), dates.full_date(F.col("gazette_date")).alias("full")), "SELECT id, strftime(system_published_at, '%b %-d, %-I:%M %p') AS short, strftime(gazette_date, '%B %-d, %Y') AS full FROM notices", None)
 _on_notices("d8_iso_text", lambda n: n.select("id", dates.iso_stamp_text(F.col("system_published_at")).alias("stamp")), f"SELECT id, {_STAMP.format('system_published_at')} AS stamp FROM notices", None)
 _on_notices("m1_percentage", lambda n: n.groupBy("category").agg(F.round(dates.percentage(F.count_if(F.col("status") == S.FAILED).cast("double"), F.count("*")), 6).alias("failed_share")), "SELECT category, round(count_if(status = 'FAILED')::DOUBLE / count(*) * 100, 6) AS failed_share FROM notices GROUP BY category", None)
 _on_notices("m2_rate_text", lambda n: n.groupBy("gazette_number").agg(dates.rate_text(F.avg("significance_rating") * 10).alias("rate")), "SELECT gazette_number, printf('%.1f%%', avg(significance_rating) * 10) AS rate FROM notices GROUP BY 1", None)
 _on_notices("m3_int_or", lambda n: n.select("id", dates.int_or(F.when(F.col("id") % 2 == 0, F.concat((F.col("id") % 10).cast("string"), F.lit(".9"))).otherwise("x"), 3).alias("n")), "SELECT id, CASE WHEN id % 2 = 0 THEN id % 10 ELSE 3 END::INT AS n FROM notices", None)
-_on_notices("m4_counter_sums", lambda n: n.agg(F.sum("view_count").alias("views"), F.sum(F.col("view_count") + 1).alias("after")), "SELECT sum(view_count)::BIGINT AS views, sum(view_count + 1)::BIGINT AS after FROM notices", None)
+_on_notices("m4_counter_sums", lambda n: metrics.counter_sums(n, "view_count", "thumbs_up", "thumbs_down"), "SELECT sum(view_count)::BIGINT AS view_count, sum(thumbs_up)::BIGINT AS thumbs_up, sum(thumbs_down)::BIGINT AS thumbs_down FROM notices", None)
 
 # ---- JSON
 
@@ -227,7 +244,7 @@ _on_events("j5_int_or", {"k": lambda: dates.int_or(F.get_json_object(_P(), "$.k"
 _on_events("j6_has_key", {"k": lambda: jsonfix.has_key(_P(), "k"), "q": lambda: jsonfix.has_key(_P(), "q")}, "json_exists(props, '$.k') AS k, false AS q")
 _on_events("j7_kind_of", {"kind": lambda: jsonfix.kind_of(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), _P(), F.lit("]"))).otherwise(_P()))}, "CASE WHEN event_id % 2 = 0 THEN 'ARRAY' ELSE 'OBJECT' END AS kind")
 _on_events("j8_first_item", {"k": lambda: F.get_json_object(jsonfix.first_item(jsonfix.items_array(_P())), "$.k")}, "json_extract_string(props, '$.k') AS k")
-_on_events("j9_serialise", {"k": lambda: F.get_json_object(F.to_json(F.struct(F.col("event_type").alias("k"))), "$.k")}, "event_type AS k")
+_on_events("j9_serialise", {"k": lambda: F.get_json_object(jsonfix.serialise(F.col("event_type").alias("k")), "$.k")}, "event_type AS k")
 _on_events("j10_object_or_array", {"good": lambda: jsonfix.object_or_array(F.when(F.col("event_id") % 2 == 0, F.lit("## text")).otherwise(_P())).isNotNull()}, "event_id % 2 <> 0 AS good")
 
 # ---- ingest
@@ -256,9 +273,9 @@ def _triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _put("p5_triage", _triage, "SELECT doc_id, CASE WHEN contains(lower(substr(text, 1, 4000)), 'tion') THEN 'Tenders' WHEN contains(lower(substr(text, 1, 4000)), 'ung') THEN 'Land_Property' WHEN contains(lower(substr(text, 1, 4000)), 'eux') THEN 'Court_Legal' ELSE 'Miscellaneous' END AS category FROM documents")
 _put(
     "p1_ingest",
-    lambda s, d: ingest.ingest(_documents(s, d), "2025-01-01", "2025-01-01 00:00:00", marker=SAMPLE_MARKER).select("doc_id", "source_order", "title", "category", "status", "notice_number", "summary", "published_date", "significance_rating", "original_pdf_path", F.md5(F.col("content").cast("binary")).alias("digest")),
-    f"""{_SEGMENTS}SELECT doc_id, source_order, category || ' notice' AS title, category, 'SUCCESS' AS status, regexp_extract(notice_text, '(?i)GAZETTE NOTICE NO\\.\\s*(\\d+)', 1) AS notice_number, substr(notice_text, 1, 40) AS summary, DATE '2025-01-01' AS published_date, (least(length(notice_text), 40) % 10 + 1)::INT AS significance_rating, '/store/' || source || '.pdf' AS original_pdf_path, md5(notice_text) AS digest
-FROM (SELECT *, CASE WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(invitation to tender|procurement|bids|disposal of assets)') THEN 'Tenders' WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(issue of land title|land acquisition|eia|provisional certificate|replacement title|replacement of lost|certificate of lease|lost title deed)') THEN 'Land_Property' WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(insolvency|probate|cause list|dissolution of marriage)') THEN 'Court_Legal' WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(incorporation|dissolution of company)') THEN 'Company_Registrations' ELSE 'Miscellaneous' END AS category FROM seg)""",
+    lambda s, d: ingest.ingest(_documents(s, d), "2025-01-01", "2025-01-01 00:00:00", marker=SAMPLE_MARKER).select("doc_id", "source_order", "title", "category", "status", "notice_number", _digest(F.col("summary")).alias("summary"), "published_date", "significance_rating", "original_pdf_path", F.md5(F.col("content").cast("binary")).alias("digest")),
+    f"""{_SEGMENTS}SELECT doc_id, source_order, category || ' notice' AS title, category, 'SUCCESS' AS status, regexp_extract(notice_text, '(?i)GAZETTE NOTICE NO\\.\\s*(\\d+)', 1) AS notice_number, md5(notice_text) AS summary, DATE '2025-01-01' AS published_date, (length(notice_text) % 10 + 1)::INT AS significance_rating, '/store/' || source || '.pdf' AS original_pdf_path, md5(notice_text) AS digest
+FROM (SELECT *, CASE WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(sealed tender|quotation for|supply and delivery)') THEN 'Tenders' WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(parcel of land|land registrar|plot number)') THEN 'Land_Property' WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(high court|estate of the late|petitioner)') THEN 'Court_Legal' WHEN regexp_matches(substr(notice_text, 1, 4000), '(?i)(companies act|registrar of companies|struck off the register)') THEN 'Company_Registrations' ELSE 'Miscellaneous' END AS category FROM seg)""",
 )
 
 
@@ -309,12 +326,12 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The better of two texts of a file: the vision text of page 1 and the rest, or the plain text where that is blank."""
     from lodestone.sources.files import high_fidelity
 
-    vision = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).when(F.col("doc_id") % 3 == 1, " ")
+    vision = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, " ")
     best = high_fidelity(vision, F.lit("rest"))
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.when(text.is_blank(best), F.col("text")).otherwise(best).cast("binary")).alias("digest"))
 
 
-_put("s3_text_fallback", _texts, "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 AND regexp_matches(substr(text, 1, 20), '[^\\s\\pZ]') THEN substr(text, 1, 20) || chr(10) || chr(10) || 'rest' ELSE text END) AS digest FROM documents")
+_put("s3_text_fallback", _texts, "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 AND regexp_matches(text, '[^\\s\\pZ]') THEN text || chr(10) || chr(10) || 'rest' ELSE text END) AS digest FROM documents")
 
 
 def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,15 +379,15 @@ CASE WHEN doc_id % 3 = 2 THEN 'Processing error. Needs manual review.' ELSE '' E
 CASE WHEN doc_id % 3 = 2 THEN DATE '2025-01-01' ELSE DATE '2024-02-03' END AS published_date, CASE WHEN doc_id % 3 = 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE doc_id % 3 WHEN 0 THEN 9 WHEN 1 THEN 3 ELSE 0 END::INT AS significance_rating,
 md5(CASE doc_id % 3 WHEN 0 THEN {_ITEMS} WHEN 1 THEN '## Extracted Data (Generation Failed):' || chr(10) || chr(10) || '```json' || chr(10) || {_ITEMS} || chr(10) || '```' ELSE '## AI PROCESSING FAILED' || chr(10) || chr(10) || '**Reason:** Extraction failed: no ''items'' wrapper' || chr(10) || chr(10) || 'The original text has been saved. You can try to fix it manually or use the ''Retry FAILED Notices'' button.' END) AS article FROM documents""",
 )
-_put("p7_narrative", lambda s, d: _narratives(s, d), "SELECT doc_id, 'Tenders notice' AS title, substr(text, 1, 40) AS summary FROM documents")
+_put("p7_narrative", lambda s, d: _narratives(s, d), "SELECT doc_id, 'Tenders notice' AS title, md5(text) AS summary FROM documents")
 
 
 def _narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.operators.model import StubModel
 
-    items = F.to_json(F.struct(F.substring("text", 1, 40).alias("brief_text")))
+    items = F.to_json(F.struct(F.col("text").alias("brief_text")))
     told = StubModel().narrate(items, F.lit("Tenders"))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(told, "$.title").alias("title"), F.get_json_object(told, "$.summary").alias("summary"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(told, "$.title").alias("title"), _digest(F.get_json_object(told, "$.summary")).alias("summary"))
 
 
 def _item_structs(spark: SparkSession, sf_dir: str) -> DataFrame:

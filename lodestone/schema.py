@@ -39,7 +39,6 @@ REASON_NO_ITEMS = "Extraction failed: no 'items' wrapper"
 REASON_EMPTY_ITEMS = "Extraction failed: 'items' was null or empty"
 REASON_EMPTY_LIST = "Extraction failed: AI returned null or empty 'items'"
 REASON_UNHANDLED = "Unhandled pipeline error"
-REASON_NO_SCHEMA = "Schema file not found"
 UNKNOWN_REASON, REASON_GENERATION, UNKNOWN_FAILURE = "Unknown Reason", "Generation Failed", "Unknown Failure"
 
 # The marker of a notice, and names that files and listings use.
@@ -80,28 +79,28 @@ NOTICES = StructType(
         StructField("last_updated_at", TimestampNTZType()),
         StructField("status", _S),
         StructField("original_pdf_path", _S),
-        StructField("thumbs_up", _I, False),
-        StructField("thumbs_down", _I, False),
-        StructField("view_count", _I, False),
+        StructField("thumbs_up", LongType(), False),
+        StructField("thumbs_down", LongType(), False),
+        StructField("view_count", LongType(), False),
         StructField("significance_rating", _I, False),
     ]
 )
 
 
-def _item(fields: str) -> StructType:
-    """Fields are strings, those that end in ``[]`` arrays of strings; all may be null."""
-    return StructType([StructField(f.removesuffix("[]"), ArrayType(_S) if f.endswith("[]") else _S) for f in fields.split()])
+def _item(fields: list[str], lists: list[str] | None = None) -> StructType:
+    """Fields are strings, those in ``lists`` arrays of strings; all may be null."""
+    return StructType([StructField(f, ArrayType(_S) if f in (lists or []) else _S) for f in fields])
 
 
-#: Item structure by category, keyed by the exact category name.
+# Item structure by category, keyed by the exact category name.
 ITEMS: dict[str, StructType] = {
-    "Appointments": _item("person_name position agency effective_date appointment_type reference_number notice_id source_issue"),
-    "Legislation": _item("title law_type citation enactment_date summary affected_sections[] notice_id source_issue"),
-    "Tenders": _item("tender_id procuring_entity brief_description deadline contact_info link_to_doc award_notice estimated_value"),
-    "Land_Property": _item("parcel_id parties[] action_type location reference_docs valuation objection_period"),
-    "Court_Legal": _item("court_name case_reference parties[] action_type filing_deadline judgment_summary"),
-    "Public_Service_HR": _item("employee_name grade action effective_date department prior_position"),
-    "Licensing": _item("licensee license_type regulator status issue_date expiry_date license_number"),
-    "Company_Registrations": _item("company_name registration_action company_number effective_date directors[] notice_id"),
-    "Miscellaneous": _item("notice_type brief_text contact_or_location date reference"),
+    "Appointments": _item(["person_name", "position", "agency", "effective_date", "appointment_type", "reference_number", "notice_id", "source_issue"]),
+    "Legislation": _item(["title", "law_type", "citation", "enactment_date", "summary", "affected_sections", "notice_id", "source_issue"], lists=["affected_sections"]),
+    "Tenders": _item(["tender_id", "procuring_entity", "brief_description", "deadline", "contact_info", "link_to_doc", "award_notice", "estimated_value"]),
+    "Land_Property": _item(["parcel_id", "parties", "action_type", "location", "reference_docs", "valuation", "objection_period"], lists=["parties"]),
+    "Court_Legal": _item(["court_name", "case_reference", "parties", "action_type", "filing_deadline", "judgment_summary"], lists=["parties"]),
+    "Public_Service_HR": _item(["employee_name", "grade", "action", "effective_date", "department", "prior_position"]),
+    "Licensing": _item(["licensee", "license_type", "regulator", "status", "issue_date", "expiry_date", "license_number"]),
+    "Company_Registrations": _item(["company_name", "registration_action", "company_number", "effective_date", "directors", "notice_id"], lists=["directors"]),
+    "Miscellaneous": _item(["notice_type", "brief_text", "contact_or_location", "date", "reference"]),
 }

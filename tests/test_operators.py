@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from lodestone import api
 from lodestone import schema as S
 from lodestone.operators import export, ingest, metrics, mutations, queries
-from lodestone.operators.model import CallModel, StubModel
-from lodestone.sources import files, listings
+from lodestone.operators.model import CallModel, StubModel, patient
+from lodestone.sources import files, listings, store
 from lodestone.sources.notices import conform, read_notices, sample_notices
 
 from .conftest import SF
@@ -116,6 +116,72 @@ def test_client_model(spark):
     assert (r["title"], r["category"], r["notice_number"]) == ("told", "Licensing", "1")
 
 
+def test_retry_asks_only_for_what_is_missing(spark, tmp_path):
+    """Rows with extracted data cost a narrative call and no other; rows with neither cost all three; a reason costs no narrative."""
+    log = tmp_path / "calls"
+
+    def ask(step, inputs):
+        with open(log, "a") as f:
+            f.write("".join(f"{step}\n" for _ in inputs))
+        return {"triage": ["Licensing"], "extract": ["{}"], "narrate": ['{"title": "told"}']}[step] * len(inputs)
+
+    n = notices(spark, [{"id": i, "status": "FAILED", "title": S.PROCESSING_FAILED_TITLE, "category": "Tenders", "content": "x"} for i in range(11)])
+    n = n.withColumn("extracted", F.when(F.col("id") < 9, F.lit('{"notice_id": "5"}')))
+    got = ingest.retry(n, DAY, NOW, CallModel(ask)).collect()
+    calls = log.read_text().split()
+    assert {k: calls.count(k) for k in ("triage", "extract", "narrate")} == {"triage": 2, "extract": 2, "narrate": 9}
+    assert sorted((r["id"], r["status"]) for r in got) == [(i, "SUCCESS" if i < 9 else "FAILED") for i in range(11)]
+
+
+def test_call_policy():
+    pauses, calls = [], []
+
+    def failing(step, inputs):
+        calls.append(step)
+        if step == "denied":
+            raise PermissionError
+        if len(calls) < 3:
+            raise OSError
+        return ["a"] * len(inputs)
+
+    ask = patient(failing, sleep=pauses.append)
+    assert ask("extract", [("x",), ("y",)]) == ["a", "a"]
+    assert pauses == [0.5, 2.0, 4.0]
+    assert ask("denied", [("x",)]) == [None]
+    assert len(calls) == 4
+
+    def never(step, inputs):
+        raise OSError
+
+    assert patient(never, sleep=pauses.append)("extract", [("x",)]) == [None]
+
+
+def test_store(spark, tmp_path):
+    """Edits, votes, retries and deletes survive a re-read, before and after the changes are folded."""
+    at = str(tmp_path / "table")
+    assert store.current(spark, at).count() == 0
+    store.append(notices(spark, [{"id": 0, "title": "a", "content": "1", "source_order": 1}, {"id": 0, "title": "b", "content": "2", "source_order": 2, "status": "FAILED"}]), at)
+    n = store.current(spark, at)
+    assert sorted((r["id"], r["title"]) for r in n.collect()) == [(1, "a"), (2, "b")]
+    store.merge(mutations.edit(n, spark.createDataFrame([(1, "z")], "id long, title string")), at)
+    events = spark.createDataFrame([(1, "view")] * 3, "user_id long, event_type string")
+    store.merge(mutations.apply_events(store.current(spark, at), events), at)
+    n = store.current(spark, at)
+    store.merge(mutations.retry_merge(n, n.where("id = 2").withColumns({"title": F.lit("again"), "status": F.lit("SUCCESS")})), at)
+    store.append(notices(spark, [{"id": 0, "title": "c", "content": "3"}]), at)
+    want = [(1, "z", "SUCCESS", 3), (2, "again", "SUCCESS", 0), (3, "c", "SUCCESS", 0)]
+    for _ in range(2):
+        assert sorted((r["id"], r["title"], r["status"], r["view_count"]) for r in store.current(spark, at).collect()) == want
+        store.compact(spark, at)
+    store.remove(spark.createDataFrame([(2,), (99,)], "id long"), at)
+    assert sorted(r["id"] for r in store.current(spark, at).collect()) == [1, 3]
+    store.compact(spark, at)
+    assert sorted(r["id"] for r in store.current(spark, at).collect()) == [1, 3]
+    store._commit(store.current(spark, at).withColumn("deleted", F.lit(False)), at, 100)
+    with pytest.raises(RuntimeError, match="another"):
+        store._commit(store.current(spark, at).withColumn("deleted", F.lit(False)), at, 100)
+
+
 PAGE = """<table><tr><th>x</th></tr>
 <tr><td class="cell-title big"><a href="/akn/ke/officialGazette/2025/225">Kenya Gazette Vol. CXXVII No. 225</a></td><td>n</td><td>7 November 2025</td></tr>
 <tr><td class="cell-title"><a href="/akn/ke/officialGazette/2025/224">Kenya Gazette Vol. CXXVII No. 224</a></td><td>31 October 2025</td></tr></table>
