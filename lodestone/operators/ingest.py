@@ -42,14 +42,17 @@ def header_fields(header: Column) -> dict[str, Column]:
 
 def extraction_failure(wrapper: Column, items: Column) -> Column:
     """Why a row has nothing to assemble, or null. ``wrapper`` is the repaired answer, ``items`` what stands under that key."""
-    kind = jsonfix.kind_of(items)
-    first = jsonfix.kind_of(F.get_json_object(items, "$[0]"))
-    return (
-        F.when(~jsonfix.has_key(wrapper, "items"), S.REASON_NO_ITEMS)
-        .when(items.isNull() | (kind == "VOID") | ((kind == "OBJECT") & (F.size(F.json_object_keys(items)) == 0)), S.REASON_EMPTY_ITEMS)
-        .when((kind == "ARRAY") & (F.json_array_length(items) == 0), S.REASON_EMPTY_LIST)
-        .when(~kind.isin("OBJECT", "ARRAY") | ((kind == "ARRAY") & (F.coalesce(first, F.lit("")) != "OBJECT")), S.REASON_UNHANDLED)
-    )
+
+    def of(kind: Column) -> Column:
+        first = F.when(kind == "ARRAY", jsonfix.kind_of(F.get_json_object(items, "$[0]")))
+        return (
+            F.when(~jsonfix.has_key(wrapper, "items"), S.REASON_NO_ITEMS)
+            .when(items.isNull() | (kind == "VOID") | ((kind == "OBJECT") & (F.size(F.json_object_keys(items)) == 0)), S.REASON_EMPTY_ITEMS)
+            .when((kind == "ARRAY") & (F.json_array_length(items) == 0), S.REASON_EMPTY_LIST)
+            .when(~kind.isin("OBJECT", "ARRAY") | ((kind == "ARRAY") & (F.coalesce(first, F.lit("")) != "OBJECT")), S.REASON_UNHANDLED)
+        )
+
+    return text.let(jsonfix.kind_of(items), of)
 
 
 def answers(segments: DataFrame, model: Model) -> DataFrame:
