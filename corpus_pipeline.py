@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from lodestone.llm import language_id, line_dedup, mixing, ngram_join, packing
 from lodestone.llm.common import small_batches, written
 
-#: A text that no learned language codes in fewer bits a byte is in none of them (prose takes 2 to 4, random letters over 6).
-MAX_BITS = 6.5
+#: A text is in none of the learned languages if its code is longer than the text itself, and few of its bytes are such as the
+#: language has: at most 0.38 in random letters, 0.44 or more in prose with keys and numbers in it.
+MAX_BITS, MIN_KNOWN = 8.0, 0.4
 #: Ids of dropped documents that are broadcast; beyond that they are matched in a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -33,13 +34,14 @@ def _passing(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFr
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach, with ``lang`` as predicted.
 
-    Rejected: a null text, one without a letter, and one that every model finds random. An empty input stays empty.
+    Rejected: a null text, one without a letter, and one that every model finds random, as a whole and in most of its bytes; a
+    text with keys, numbers or marks between its words stays. An empty input stays empty.
     """
     small_batches(spark)
 
     def stage(docs: DataFrame) -> DataFrame:
         told = language_id.identify(docs, language_id.train(docs))
-        kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_bits") <= MAX_BITS))
+        kept = told.where((F.col("lang_pred") != language_id.UNKNOWN) & ((F.col("lang_bits") <= MAX_BITS) | (F.col("lang_known") >= MIN_KNOWN)))
         return kept.withColumn("lang", F.col("lang_pred"))
 
     return _passing(docs, stage)

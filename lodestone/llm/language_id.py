@@ -28,6 +28,8 @@ MAX_LANGS = 256
 #: Labels up to this many are broadcast with their counts.
 BROADCAST_LANGS = 10_000
 UNKNOWN = "und"
+#: Bits that a byte of a known language costs at most, but for names, numbers and the like.
+CHEAP = 5.0
 _SLOTS = 1 << 19
 _CHUNK = 1 << 18
 _PAD = b"\n" * ORDER
@@ -101,7 +103,11 @@ class Model:
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each whole text under each language: one row per text."""
-        total = np.zeros((len(texts), len(self.langs)))
+        return self._coded(texts)[0]
+
+    def _coded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each whole text under each language, and its bytes that cost at most ``CHEAP`` bits."""
+        total, cheap = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs)), np.int64)
         parts: list[tuple[int, bytes, bytes]] = []
         held = 0
 
@@ -113,7 +119,9 @@ class Model:
             bits = self._window_bits(windows)
             at = 0
             for row, a, b in parts:
-                total[row] += bits[at + len(a) : at + len(a) + len(b)].sum(axis=0)
+                own = bits[at + len(a) : at + len(a) + len(b)]
+                total[row] += own.sum(axis=0)
+                cheap[row] += np.count_nonzero(own <= CHEAP, axis=0)
                 at += len(a) + len(b)
 
         for row, text in enumerate(texts):
@@ -125,21 +133,23 @@ class Model:
                     parts, held = [], 0
         if parts:
             settle()
-        return total
+        return total, cheap
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-        """Language, score in 0..1 (the posterior under equal priors) and bits per byte; ``und``, 0, 0 without a letter."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[float]]:
+        """Language, score in 0..1 (the posterior under equal priors), bits per byte and share of cheap bytes; ``und``, 0, 0, 0
+        without a letter.
+        """
         rows = [k for k, t in enumerate(texts) if t and has_letter(t)]
-        lang, score, rate = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        lang, score, rate, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if rows and self.langs:
             coded = [texts[k].encode() for k in rows]
-            bits = self.code_lengths(coded)
+            bits, cheap = self._coded(coded)
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(rows)), best]
             post = 1 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(axis=1)
-            for k, b, s, x, c in zip(rows, best, post, least, coded, strict=True):
-                lang[k], score[k], rate[k] = self.langs[b], float(s), float(x) / len(c)
-        return lang, score, rate
+            for i, (k, b, s, x, c) in enumerate(zip(rows, best, post, least, coded, strict=True)):
+                lang[k], score[k], rate[k], known[k] = self.langs[b], float(s), float(x) / len(c), float(cheap[i, b]) / len(c)
+        return lang, score, rate, known
 
 
 _LATIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -171,26 +181,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every input row with ``lang_pred``, ``lang_score`` and ``lang_bits`` (bits per byte under the predicted language).
+    """Every input row with ``lang_pred``, ``lang_score``, and under the predicted language ``lang_bits`` (per byte) and
+    ``lang_known`` (the share of bytes that cost at most ``CHEAP`` bits).
 
     The text alone decides. A null text, or one without a letter, gets ``und`` with score 0; a tie goes to the first language
-    by code point. Other columns are kept, these three are replaced; repeated rows, null ids and an empty table need no care.
+    by code point. Other columns are kept, these four are replaced; repeated rows, null ids and an empty table need no care.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("lang_pred", "lang_score", "lang_bits")
+    base = docs.drop("lang_pred", "lang_score", "lang_bits", "lang_known")
     names = base.columns
     text_at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = shared.value
         for batch in slices(batches):
-            lang, score, rate = mine.predict(batch.column(text_at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=[*names, "lang_pred", "lang_score", "lang_bits"])
+            lang, *figures = mine.predict(batch.column(text_at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in figures)], names=[*names, "lang_pred", "lang_score", "lang_bits", "lang_known"])
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*base.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_bits", DoubleType())])
+    schema = StructType([*base.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_bits", DoubleType()), StructField("lang_known", DoubleType())])
     return base.mapInArrow(run, schema)
 
 

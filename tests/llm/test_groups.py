@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import embedding_dedup, graph, ngram_join
+from lodestone.llm import embedding_dedup, graph, language_id, ngram_join
 from lodestone.llm.queries import QUERIES
 
 from ..conftest import SF
@@ -276,6 +276,22 @@ def test_embedding_query(spark):
 # ---- pipeline
 
 
+def test_language_stage_keeps_prose_and_drops_noise(spark):
+    """Texts with keys, numbers and shouting stay; null, letterless and random ones go."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    r = random.Random(3)
+    words = docs.where("lang = 'en'").orderBy("doc_id").first()["text"].split()
+    key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+    good = [f'token = "{key}" ' + " ".join(words[:8]), " ".join(words[:6]) + f" password={key[:18]} " + words[7], " ".join(words[:20]).upper() + "!!", words[0]]
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(40)), "".join(r.choice("qwrtzpsdfghjklyxcvbnmQWRTZ0123456789+/") for _ in range(400)), "12 34 !!", "", None]
+    extra = spark.createDataFrame([(50_000 + k, t, None, "src0", 0) for k, t in enumerate([*good, *noise])], docs.schema)
+    kept = {r["doc_id"] for r in cp.keep_known_languages(spark, docs.unionByName(extra), SF).select("doc_id").collect()}
+    assert {i for i in kept if i >= 50_000} == {50_000 + k for k in range(len(good))}
+    assert kept >= {r["doc_id"] for r in docs.collect() if language_id.has_letter(r["text"] or "")}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
