@@ -60,8 +60,24 @@ def extract_text(files: DataFrame, extractor: Extractor = plain_text) -> DataFra
     return read.select(F.col("path").alias("original_pdf_path"), F.when(is_blank(best), F.col("plain")).otherwise(best).alias("text"))
 
 
-def upload(landing: str, name: str, data: bytes) -> str:
-    """Where an uploaded file goes in a landing folder that the stream watches; an empty one is refused."""
+def upload(landing: str, name: str, data: bytes, spark: SparkSession | None = None) -> str:
+    """Where an uploaded file goes in a landing folder that the stream watches; an empty one is refused.
+
+    With a session it is put there: written under a hidden name and renamed, so that a stream never sees half of it.
+    """
     if not data:
         raise ValueError("the file is empty")
-    return str(PurePosixPath(landing) / PurePosixPath(name).name)
+    at = str(PurePosixPath(landing) / PurePosixPath(name).name)
+    if spark is not None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        target = path(at)
+        hidden = path(target.getParent(), f"_{target.getName()}")
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        out = fs.create(hidden, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        fs.delete(target, False)
+        fs.rename(hidden, target)
+    return at

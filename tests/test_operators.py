@@ -212,6 +212,10 @@ def test_report_and_files(spark, tmp_path):
     assert sorted(r["notice_number"] for r in rows) == ["1", "2"]
     with pytest.raises(ValueError, match="empty"):
         files.upload("/in", "x.pdf", b"")
+    for data in (b"GAZETTE NOTICE NO. 7\nC", b"GAZETTE NOTICE NO. 8\n\x00\xff"):
+        assert files.upload(str(tmp_path / "up"), "../x/c.pdf", data, spark) == str(tmp_path / "up" / "c.pdf")
+        assert (tmp_path / "up" / "c.pdf").read_bytes() == data
+    assert [r["notice_number"] for r in api.add(spark, str(tmp_path / "up"), DAY, NOW).collect()] == ["8"]
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
