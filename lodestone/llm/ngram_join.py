@@ -214,12 +214,12 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the text in the last column by the bitmap of its shingles."""
+    """Replace the text in the last column by the number of its shingles, in 8 bytes, and their bitmap."""
     for batch in slices(batches):
         out = []
         for t in batch.column(batch.num_columns - 1).cast(pa.binary()):
             s = _shingler.shingles(t.as_py())
-            out.append(bitmap(s, bits_of(len(s))).tobytes())
+            out.append(np.array([len(s)], np.uint64).tobytes() + bitmap(s, bits_of(len(s))).tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*batch.schema.names[:-1], "map"])
 
 
@@ -259,8 +259,9 @@ def _bound_tiles(best: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ["tile", "i", "j"]):
-            node, comp, size, outside, side = (table[c].to_numpy() for c in ("node", "comp", "n", "outside", "side"))
-            maps = [np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()]
+            node, comp, outside, side = (table[c].to_numpy() for c in ("node", "comp", "outside", "side"))
+            raw = [np.frombuffer(m, np.uint64) for m in table["map"].to_pylist()]
+            size, maps = np.array([m[0] for m in raw], np.int64), [m[1:] for m in raw]
             left, right = (side == 0) | ((side == 2) & outside), side != 0
             if left.any() and right.any():
                 found = {(min(i, j, key=lambda k: node[k]), max(i, j, key=lambda k: node[k])) for i, j in near_pairs(left, right, outside, node, comp, size, maps, best)}
@@ -363,7 +364,7 @@ def _joined(docs: DataFrame, tiles: DataFrame) -> DataFrame:
 
 def _closed(docs: DataFrame, tiles: DataFrame, wide: DataFrame, n_wide: int, found: DataFrame) -> DataFrame:
     """``found`` (node, component) with the components joined that links between members of a tile join."""
-    maps = _with_text(docs, wide, n_wide, _maps, "map").dropDuplicates(["node"])
+    maps = _with_text(docs, wide, n_wide, _maps, "map").dropDuplicates(["node", "map"])
     at = maps.join(found, "node", "left").select("node", "map", F.coalesce("component", "node").alias("comp"))
     held = written(tiles.join(at, "node").select("tile", "node", "n", "comp", "map"), "held")
     for best in (BEST, None):
@@ -408,14 +409,14 @@ def _across_blocks(docs: DataFrame, held: DataFrame, best: int | None) -> DataFr
     # in a tile of one block a row comes once, and stands on both sides if it is an outsider
     alone = F.array(dealt(F.lit(0), F.lit(0), 2))
     tasks = F.when(F.col("blocks") == 1, alone).otherwise(F.concat(F.filter(as_outsider, lambda _: F.col("outside")), as_member))
-    each = rows.withColumn("t", F.explode(tasks)).select("tile", "node", "n", "comp", "outside", "t.i", "t.j", "t.side", "map")
+    each = rows.withColumn("t", F.explode(tasks)).select("tile", "node", "n", "comp", "outside", "t.i", "t.j", "t.side", "map").drop("n")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES)
     each = each.repartition(parts, "tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     pairs = written(each.mapInArrow(_bound_tiles(best), "a long, b long, ca long, cb long").dropDuplicates(["a", "b"]), "pairs")
     drop(blocks)
 
     ends = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
-    arrays = written(_with_text(docs, ends, ends.count(), _arrays, "shingles").dropDuplicates(["node"]), "arrays")
+    arrays = written(_with_text(docs, ends, ends.count(), _arrays, "shingles").dropDuplicates(["node", "shingles"]), "arrays")
     both = pairs.join(arrays.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(arrays.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     more = written(both.select("ca", "cb", "sa", "sb").mapInArrow(_check_pairs, "a long, b long"), "more")
     drop(pairs, ends, arrays)

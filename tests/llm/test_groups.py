@@ -100,6 +100,19 @@ def test_join_over_blocks(spark, monkeypatch):
     check_join(spark, rows)
 
 
+def test_join_over_blocks_with_shared_ids(spark, monkeypatch):
+    """Rows that share an id and not a text: each text's links count, in clusters of many blocks too."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "LEADERS", 0)
+    r = random.Random(7)
+    one, two = [f"w{k}" for k in range(150)], [f"u{k}" for k in range(60)]
+    rows = list(enumerate(variants(r, one, 20, 12))) + [(k + 5, t) for k, t in enumerate(variants(r, two, 20, 4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = joined(rows)
+    got = {(x["doc_id"], x["component_id"]) for x in ngram_join.components_of(docs).collect()}
+    assert got == {(i, c) for i, (_, c) in want.items()}
+
+
 def test_join_below_threshold(spark, monkeypatch):
     """Many documents that share a passage and stay below the threshold: the pairs that leave the tiles don't grow with their square."""
     emitted = []
