@@ -45,6 +45,8 @@ def _names() -> dict[str, list[str]]:
         "Apache-2.0": ["Apache-2.0", "Apache 2", "Apache License 2.0", "Apache License, Version 2.0", "Apache License, Version 2", "Apache License v2.0", "Apache 2.0 License"],
         "Unlicense": ["Unlicense"],
         "Zlib": ["zlib License", "Zlib"],
+        "BSL-1.0": ["BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0", "Boost Software License v1.0"],
+        "Artistic-2.0": ["Artistic-2.0", "Artistic License 2.0", "Artistic License, Version 2.0"],
         "CC0-1.0": ["CC0", "CC0-1.0", "CC0 1.0 Universal", "Creative Commons Zero", "Creative Commons CC0", "Creative Commons Zero v1.0 Universal"],
     }
     for code, name in (("GPL", "General Public License"), ("LGPL", "Lesser General Public License"), ("AGPL", "Affero General Public License")):

@@ -232,7 +232,7 @@ def test_license_families(spark):
     from pathlib import Path
 
     whole = {f"{f.stem}-text": f.read_text() for f in (Path(license_scans.__file__).parent / "licenses").glob("*.txt")}
-    assert len(whole) == 14
+    assert len(whole) == 18
     short = {
         "MIT": "Licensed under the MIT License",
         "BSD-2-Clause": "distributed under the terms of the BSD 2-Clause License",
@@ -244,6 +244,8 @@ def test_license_families(spark):
         "LGPL-2.1": "available under the GNU Lesser General Public License v2.1",
         "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0",
         "MPL-2.0": "Released under the Mozilla Public License 2.0",
+        "BSL-1.0": "Distributed under the Boost Software License, Version 1.0",
+        "Artistic-2.0": "available under the terms of the Artistic License 2.0",
     }
     cases = [(n, f"{'some words before ' * 50}{t} and some after") for n, t in [*whole.items(), *short.items(), *((n, t) for n, (t,) in license_scans.TEMPLATES.items())]]
     edited = whole["BSD-3-Clause-text"].replace("copyright holder", "Example Trust").replace("\n", "\n# ")
@@ -296,7 +298,7 @@ def test_license_whole_texts_by_alignment():
     r = random.Random(5)
     coded = license_scans.default_templates()
     words = [f"x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(600)]
-    for name in ("MIT-text", "ISC-text", "BSD-2-Clause-text", "Apache-2.0-header"):
+    for name in ("MIT-text", "ISC-text", "BSD-2-Clause-text", "Zlib-text", "BSL-1.0-text", "Apache-2.0-header"):
         for share in (0.0, 0.05, 0.1, 0.3):
             body = [w if r.random() >= share else r.choice(words) for w in coded.texts[name]]
             text = " ".join([*r.choices(words, k=40), *body, *r.choices(words, k=40)])
