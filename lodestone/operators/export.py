@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import dates, text
+from lodestone.functions.hadoop import new_file
+from lodestone.operators import workbook
 from lodestone.operators.queries import by_id, by_path, official_order, posts
 
 # The report's headers, in order.
@@ -43,7 +45,15 @@ def report_batch(n: DataFrame, path: str) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write a report as CSV with a header (quotes doubled, line feeds kept inside them) or as another format."""
+    """Write a report as CSV with a header (quotes doubled, line feeds kept inside them), as a workbook or as another format.
+
+    ``xlsx`` makes one file, in the order of the rows: they pass through the driver, which holds one partition of them at a
+    time. That is for what people download; other formats are folders that the executors write.
+    """
+    if fmt == "xlsx":
+        with new_file(rows.sparkSession, path) as out:
+            workbook.write(out, rows.columns, rows.toLocalIterator())
+        return
     writer = rows.write.mode("overwrite")
     (writer.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else writer.format(fmt).save(path))
 

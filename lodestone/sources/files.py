@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.hadoop import new_file
 from lodestone.functions.ship import ship
 from lodestone.functions.text import is_blank
 
@@ -69,15 +70,6 @@ def upload(landing: str, name: str, data: bytes, spark: SparkSession | None = No
         raise ValueError("the file is empty")
     at = str(PurePosixPath(landing) / PurePosixPath(name).name)
     if spark is not None:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        target = path(at)
-        hidden = path(target.getParent(), f"_{target.getName()}")
-        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        out = fs.create(hidden, True)
-        try:
-            out.write(bytearray(data))
-        finally:
-            out.close()
-        fs.delete(target, False)
-        fs.rename(hidden, target)
+        with new_file(spark, at) as out:
+            out.write(data)
     return at

@@ -1,12 +1,16 @@
 import datetime as dt
 import json
+import re
+import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import api
 from lodestone import schema as S
-from lodestone.operators import export, ingest, metrics, mutations, queries
+from lodestone.functions.hadoop import new_file
+from lodestone.operators import export, ingest, metrics, mutations, queries, workbook
 from lodestone.operators.model import CallModel, StubModel, patient
 from lodestone.sources import files, listings, store
 from lodestone.sources.notices import conform, read_notices, sample_notices
@@ -218,6 +222,57 @@ def test_report_and_files(spark, tmp_path):
     assert [r["notice_number"] for r in api.add(spark, str(tmp_path / "up"), DAY, NOW).collect()] == ["8"]
 
 
+def sheets(path):
+    """Rows of each sheet of a workbook, read by the rules of the format."""
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    out = {}
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None
+        parts = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        kinds = {o.get("PartName") for o in ElementTree.fromstring(z.read("[Content_Types].xml"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheet", ns):
+            part = f"xl/{parts[sheet.get(rel)]}"
+            assert f"/{part}" in kinds
+            rows = []
+            for row in ElementTree.fromstring(z.read(part)).iterfind(".//m:row", ns):
+                cells = []
+                for c in row.iterfind("m:c", ns):
+                    text, number = c.find("m:is/m:t", ns), c.find("m:v", ns)
+                    kept = re.sub("_x([0-9A-F]{4})_", lambda m: chr(int(m.group(1), 16)), text.text or "") if text is not None else None
+                    cells.append(kept if text is not None else number if number is None else int(number.text))
+                    assert len(rows) or c.get("s") == "1"
+                rows.append(tuple(cells))
+            out[sheet.get("name")] = rows
+    return out
+
+
+def test_workbook(spark, tmp_path, monkeypatch):
+    odd = "<a> & \"b\"\n\tc\r\x0b _x0041_ \U0001f600 \uffff "
+    n = notices(spark, [{"id": 1, "title": odd, "gazette_date": dt.date(2024, 1, 2)}, {"id": 2, "content": "w " * 20000}, {"id": 3, "title": "\U0001f600" * 20000}])
+    rows = export.report(n.orderBy("id"))
+    export.write_report(rows, str(tmp_path / "x" / "Export_a.xlsx"), "xlsx")
+    want = [tuple(r) for r in rows.collect()]
+    got = sheets(tmp_path / "x" / "Export_a.xlsx")
+    assert list(got) == ["Gazettes"]
+    assert got["Gazettes"][0] == export.HEADERS
+    assert got["Gazettes"][1:3] == want[:2]
+    assert got["Gazettes"][3][1] == "\U0001f600" * 16383  # what a cell can hold
+    export.write_report(rows.limit(0), str(tmp_path / "x" / "Export_a.xlsx"), "xlsx")
+    assert sheets(tmp_path / "x" / "Export_a.xlsx") == {"Gazettes": [export.HEADERS]}
+    monkeypatch.setattr(workbook, "MAX_ROWS", 3)
+    export.write_report(rows, str(tmp_path / "b.xlsx"), "xlsx")
+    assert [len(r) for r in sheets(tmp_path / "b.xlsx").values()] == [3, 2]
+    assert list(sheets(tmp_path / "b.xlsx")) == ["Gazettes", "Gazettes 2"]
+
+
+def test_no_half_file(spark, tmp_path):
+    with pytest.raises(ZeroDivisionError), new_file(spark, str(tmp_path / "a")) as out:
+        out.write(b"x")
+        raise ZeroDivisionError
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == []
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     sample_notices(spark, SF).write.parquet(str(tmp_path / "n"))
     df = queries.public_list(read_notices(spark, str(tmp_path / "n")), "significant").select("id", "significance_rating")
