@@ -43,7 +43,7 @@ def edit_form(n: DataFrame, notice_id: int) -> DataFrame:
     return queries.by_id(n, notice_id)
 
 
-def add(spark: SparkSession, path: str, run_date: str, run_ts: str, model: Model | None = None, extractor: files.Extractor = files.plain_text, pattern: str = "*.pdf") -> DataFrame:
+def add(spark: SparkSession, path: str, run_date: str, run_ts: str, model: Model | None = None, extractor: files.Extractor = files.file_text, pattern: str = "*.pdf") -> DataFrame:
     """Notices of the uploaded files in a folder."""
     return ingest.ingest(files.extract_text(files.read_files(spark, path, pattern), extractor), run_date, run_ts, model)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.hadoop import new_file
 from lodestone.functions.ship import ship
 from lodestone.functions.text import is_blank
+from lodestone.sources import pdf
 
 #: (bytes of a file) -> (text of page 1 as a vision model reads it, text of the other pages, text of all pages); None where there is none
 Extractor = Callable[[bytes], tuple[str | None, str | None, str | None]]
@@ -27,6 +28,17 @@ def plain_text(data: bytes) -> tuple[str | None, str | None, str | None]:
     return None, None, data.decode("utf-8", "replace")
 
 
+def pdf_text(data: bytes) -> tuple[str | None, str | None, str | None]:
+    """Text of a PDF by this package's own reader (``sources/pdf.py`` says what it reads)."""
+    pages = pdf.pages_text(data)
+    return None, "\n".join(pages[1:]), "\n".join(pages) or None
+
+
+def file_text(data: bytes) -> tuple[str | None, str | None, str | None]:
+    """Text of a file of either kind, told apart by its first bytes."""
+    return pdf_text(data) if b"%PDF-" in data[:1024] else plain_text(data)
+
+
 def pypdf_text(data: bytes) -> tuple[str | None, str | None, str | None]:
     """Text of a PDF where the optional library is installed."""
     import io
@@ -42,7 +54,7 @@ def high_fidelity(first: Column, rest: Column) -> Column:
     return F.when(~is_blank(first), F.concat(first, F.lit("\n\n"), F.coalesce(rest, F.lit(""))))
 
 
-def extract_text(files: DataFrame, extractor: Extractor = plain_text) -> DataFrame:
+def extract_text(files: DataFrame, extractor: Extractor = file_text) -> DataFrame:
     """(original_pdf_path, text): the vision text, or the plain text of all pages where that is blank. A file that can't be read has null."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,7 +13,7 @@ from lodestone.operators.export import post_significant
 from lodestone.operators.ingest import deduplicate, notices_of, with_header
 from lodestone.operators.model import Model, StubModel
 from lodestone.operators.mutations import COUNTERS, assign_ids
-from lodestone.sources.files import Extractor, extract_text, plain_text
+from lodestone.sources.files import Extractor, extract_text, file_text
 
 INGEST = "notices-ingest"
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -31,7 +31,7 @@ def start_ingest(
     run_date: str | Callable[[], str],
     run_ts: str | Callable[[], str],
     model: Model | None = None,
-    extractor: Extractor = plain_text,
+    extractor: Extractor = file_text,
     marker: str = S.NOTICE_MARKER,
     send: Callable[[str], None] | None = None,
     available_now: bool = True,
