@@ -39,9 +39,10 @@ def cut_object(c: Column) -> Column:
     """From the first ``{`` to the last ``}`` of an unfenced text; null where there is no such stretch."""
 
     def of(text: Column) -> Column:
-        start, end = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
-        found = (start > 0) & (F.instr(text, "}") > 0) & (end >= start)
-        return F.when(found, F.substring(text, start, end - start + 1))
+        start, end = F.instr(text, "{"), F.length(text) - F.length(F.substring_index(text, "}", -1))
+        found = (start > 0) & F.contains(text, F.lit("}")) & (end >= start)
+        whole = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
+        return F.when(whole, text).when(found, F.substring(text, start, end - start + 1))
 
     return F.when(~is_blank(c), let(strip_fence(c), of))
 

@@ -15,12 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-_BOTH_ENDS = r"^[\x00-\x20]+|[\x00-\x20]+\z"
+_BLANKS = "".join(map(chr, range(0x21)))
 
 
 def trim_ws(c: Column) -> Column:
     """Cut all characters up to U+0020 from both ends; ``trim`` cuts spaces only."""
-    return F.regexp_replace(c, _BOTH_ENDS, "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def is_blank(c: Column) -> Column:
@@ -34,7 +34,7 @@ def strip_nul(c: Column) -> Column:
 
 def strip_fence(c: Column) -> Column:
     """Take the content out of a fenced JSON block."""
-    return trim_ws(F.regexp_replace(c, r"(?s)```json\s*(.*?)\s*```", "$1"))
+    return trim_ws(F.when(F.contains(c, F.lit("```json")), F.regexp_replace(c, r"(?s)```json\s*(.*?)\s*```", "$1")).otherwise(c))
 
 
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:

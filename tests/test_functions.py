@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -102,3 +104,20 @@ def test_segments_are_pieces_in_order(spark, parts):
 def test_repair_leaves_valid_objects(spark, value):
     raw = json.dumps(value)
     assert one(spark, raw, jsonfix.safe_object) == raw
+
+
+def test_cut_and_trim_by_definition(spark):
+    r = random.Random(3)
+    texts = [None, "", *("".join(r.choices(["{", "}", " ", "\x00", "\n", " ", "a", "€", "```json", "```", "\U0001f600"], k=r.randrange(9))) for _ in range(600))]
+    low = "".join(map(chr, range(33)))
+
+    def cut(s):
+        if s is None or not any(not x.isspace() for x in s):
+            return None
+        s = re.sub(r"(?sa)```json\s*(.*?)\s*```", r"\1", s).strip(low)
+        lo, hi = s.find("{"), s.rfind("}")
+        return s[lo : hi + 1] if 0 <= lo <= hi else None
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", text.trim_ws(F.col("t")).alias("trimmed"), jsonfix.cut_object(F.col("t")).alias("cut")).orderBy("k").collect()
+    assert [x["trimmed"] for x in rows] == [None if t is None else t.strip(low) for t in texts]
+    assert [x["cut"] for x in rows] == [cut(t) for t in texts]
