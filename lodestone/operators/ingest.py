@@ -14,7 +14,7 @@ from lodestone import schema as S
 from lodestone.functions import dates, jsonfix, text
 from lodestone.operators.model import Model, StubModel
 from lodestone.operators.mutations import retry_merge
-from lodestone.operators.queries import retryable
+from lodestone.operators.queries import to_retry
 from lodestone.sources.notices import conform
 
 
@@ -60,13 +60,23 @@ def answers(segments: DataFrame, model: Model) -> DataFrame:
     out = _asked(segments, "category", model.triage(F.col("notice_text")), clean_category)
     out = _asked(out, "wrapper", model.extract(F.col("notice_text"), F.col("category")), jsonfix.safe_object)
     out = out.withColumn("items", F.get_json_object("wrapper", "$.items"))
-    out = out.withColumn("reason", extraction_failure(F.col("wrapper"), F.col("items")))
+    out = _settled(out, "reason", extraction_failure(F.col("wrapper"), F.col("items")))
     return _narrated(out, model)
 
 
+def _settled(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that later filters read and don't work out again.
+
+    A filter moves below the columns it reads and takes their expressions along, one copy for each mention; through columns made
+    of one another, copies multiply. It doesn't move below a generator's output, here of one row for each.
+    """
+    rest = [c for c in rows.columns if c != name]
+    return rows.withColumn("__value", value).select(*rest, F.inline(F.array(F.struct(F.col("__value").alias(name)))))
+
+
 def _asked(rows: DataFrame, name: str, answer: Column, clean: Callable[[Column], Column]) -> DataFrame:
     """A model's answer in a column of its own, and then cleaned: it is asked for once, however often the cleaning names it."""
-    return rows.withColumn("__answer", answer).withColumn(name, clean(F.col("__answer"))).drop("__answer")
+    return _settled(rows.withColumn("__answer", answer), name, clean(F.col("__answer"))).drop("__answer")
 
 
 def _narrated(rows: DataFrame, model: Model) -> DataFrame:
@@ -192,7 +202,7 @@ def regenerate(failed: DataFrame, run_date: str, run_ts: str, model: Model | Non
 
 def retry(notices: DataFrame, run_date: str, run_ts: str, model: Model | None = None) -> DataFrame:
     """The table after a retry of its failed rows; ``notices`` has ``extracted``."""
-    return retry_merge(notices, regenerate(retryable(notices), run_date, run_ts, model))
+    return retry_merge(notices, regenerate(to_retry(notices), run_date, run_ts, model))
 
 
 def deduplicate(new: DataFrame, stored: DataFrame) -> DataFrame:

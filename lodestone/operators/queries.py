@@ -89,10 +89,14 @@ def posts(n: DataFrame) -> DataFrame:
     return succeeded(n).where(is_significant()).select("id", "x_summary")
 
 
+def to_retry(n: DataFrame) -> DataFrame:
+    """Failed notices of either kind, in no order."""
+    return failed(n).where(F.col("title").startswith(S.GENERATION_FAILED) | F.col("title").startswith(S.PROCESSING_FAILED))
+
+
 def retryable(n: DataFrame) -> DataFrame:
     """Failed notices of either kind, in official order."""
-    kinds = F.col("title").startswith(S.GENERATION_FAILED) | F.col("title").startswith(S.PROCESSING_FAILED)
-    return failed(n).where(kinds).orderBy(*official_order())
+    return to_retry(n).orderBy(*official_order())
 
 
 def generation_failures(n: DataFrame) -> DataFrame:

@@ -137,6 +137,17 @@ def test_retry_asks_only_for_what_is_missing(spark, tmp_path):
     assert sorted((r["id"], r["status"]) for r in got) == [(i, "SUCCESS" if i < 9 else "FAILED") for i in range(11)]
 
 
+def test_filters_do_not_repeat_answers(spark):
+    """A filter on what was assembled reads the answers; it doesn't take the model's expressions along, copy by copy."""
+    cue = "sealed tender"
+    n = sample_notices(spark, SF).withColumn("extracted", F.when(F.col("id") % 2 == 0, F.col("article")))
+    docs = spark.createDataFrame([("body", "/p.pdf")], "text string, original_pdf_path string")
+    for df in (ingest.retry(n, DAY, NOW), queries.succeeded(ingest.ingest(docs, DAY, NOW))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(cue) == 1
+        assert len(plan) < 100_000
+
+
 def test_call_policy():
     pauses, calls = [], []
 
