@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices, small_batches
 from ..functions.ship import ship
 
 __all__ = ["SPACES", "WORD", "broadcast_if_small", "drop", "drop_written", "private", "read_table", "shared_dir", "ship", "slices", "small_batches", "word_count", "written"]
@@ -23,9 +21,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as bytes, for ``bytes.translate``; ``bytes.split()`` cuts at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
 
-BATCH_BYTES = "4m"
-_DEFAULT_BATCH = "67108864b"
-
 _written: dict[str, SparkSession] = {}
 
 
@@ -65,29 +60,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep this session's Arrow batches to ``BATCH_BYTES`` where nobody has set a size.
-
-    A batch stands in an executor's memory outside of the heap, several times over while it grows. The registered queries and
-    the pipeline's stages ask for this; the operators leave the session as it is.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == _DEFAULT_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in slices of few rows, so that a worker holds the Python objects of one slice at a time.
-
-    After the last one the memory that this task has used goes back to the system; workers are kept for later tasks.
-    """
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
 

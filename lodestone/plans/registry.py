@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schema as S
 from lodestone.functions import dates, jsonfix, text
+from lodestone.functions.batches import small_batches
 from lodestone.operators import export, ingest, metrics, mutations, queries
 from lodestone.sources import listings
 from lodestone.sources.notices import SAMPLE_SQL, sample_notices
@@ -26,6 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, for queries that read them over Arrow batches."""
+    small_batches(spark)
+    return _table(spark, sf_dir, "pages")
+
+
 def _put(name: str, query: Query, sql: str | None) -> None:
     QUERIES[name] = query
     if sql is not None:
@@ -149,12 +156,12 @@ _put("k1_latest_version", _later, f"{SAMPLE_SQL}SELECT id, CASE WHEN {_TOXIC} TH
 _put("s10_scan", lambda s, d: _table(s, d, "documents").select("doc_id", "source", "n_chars"), "SELECT doc_id, source, n_chars FROM documents")
 _put(
     "s4_page_links",
-    lambda s, d: listings.all_links(_table(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("links"), F.min_by("href", "pos").alias("first_href")),
+    lambda s, d: listings.all_links(_pages(s, d)).groupBy("page_id").agg(F.count("*").alias("links"), F.min_by("href", "pos").alias("first_href")),
     r"""SELECT page_id, len(h)::BIGINT AS links, h[1] AS first_href FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages) WHERE len(h) > 0""",
 )
 _put(
     "s6_resolve_url",
-    lambda s, d: listings.all_links(_table(s, d, "pages")).where(F.col("href").startswith("/")).groupBy("page_id").agg(F.min_by("url", "pos").alias("first_url")),
+    lambda s, d: listings.all_links(_pages(s, d)).where(F.col("href").startswith("/")).groupBy("page_id").agg(F.min_by("url", "pos").alias("first_url")),
     r"""SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*') || h[1] AS first_url FROM (SELECT page_id, url, list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda x: starts_with(x, '/')) AS h FROM pages) WHERE len(h) > 0""",
 )
 _put("s7_file_identifier", lambda s, d: _table(s, d, "pages").select("page_id", text.file_identifier(F.col("url")).alias("identifier")), "SELECT page_id, replace(string_split(url, '/')[-1], '.pdf', '') AS identifier FROM pages")
@@ -305,7 +312,7 @@ def _archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda n, day: F.concat(F.lit('<tr><td class="cell-title"><a href="/akn/ke/officialGazette/'), n, F.lit('">Kenya Gazette No. '), n, F.lit("</a></td><td>"), day, F.lit(" November 2025</td></tr>"))
     day = (F.col("page_id") % 28 + 1).cast("string")
     html = F.concat(F.lit("<table>"), row(i, day), row(F.lit("0"), F.lit("1")), F.lit('</table><a href="get/'), i, F.lit('.pdf">Download PDF</a>'))
-    return _table(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.lit("https://law.example.org/list/2025").alias("url"))
+    return _pages(spark, sf_dir).select("page_id", html.alias("html"), F.lit("https://law.example.org/list/2025").alias("url"))
 
 
 _put(

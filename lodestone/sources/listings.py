@@ -1,6 +1,6 @@
 """Stored HTML pages of a gazette archive: links, dates and file names. Fetching pages is left to the caller.
 
-HTML has no native parser in Spark, so a page is read once in an Arrow-batched UDF that returns all that is asked of it.
+HTML has no native parser in Spark, so a page is read once, over Arrow batches, for all that is asked of it.
 """
 
 from __future__ import annotations
@@ -9,12 +9,13 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import schema as S
 from lodestone.functions import dates, text
+from lodestone.functions.batches import slices
 from lodestone.functions.ship import ship
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -73,34 +74,60 @@ def _joined(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def links_of(html: str | None, base: str | None = "", title_class: str = "cell-title") -> list[dict]:
+def _row_text(row: dict | None) -> str | None:
+    """The text of a row's last cell; the row's links share it."""
+    last = row and row["last"]
+    if last and "whole" not in last:
+        last["whole"] = _joined(last["text"])
+    return last["whole"] if last else None
+
+
+def links_of(html: str | None, base: str | None = "", title_class: str = "cell-title") -> Iterator[dict]:
     parser = _Links(title_class)
     parser.feed(html or "")
     parser.close()
-    out = []
     for pos, x in enumerate(parser.links):
-        last = x["row"] and x["row"]["last"]
         try:
             url = urljoin(base or "", x["href"])
         except ValueError:
             url = ""
-        out.append({"pos": pos, "href": x["href"], "url": url, "text": _joined(x["text"]), "in_title": x["title"], "row_text": _joined(last["text"]) if last else None})
-    return out
+        yield {"pos": pos, "href": x["href"], "url": url, "text": _joined(x["text"]), "in_title": x["title"], "row_text": _row_text(x["row"])}
+
+
+_LINK = pa.schema([("pos", pa.int32()), ("href", pa.string()), ("url", pa.string()), ("text", pa.string()), ("in_title", pa.bool_()), ("row_text", pa.string())])
+#: A task hands links on when it holds this many, or this many characters of them.
+_PART_LINKS, _PART_CHARS = 4096, 1 << 20
 
 
-_LINKS = "array<struct<pos:int,href:string,url:string,text:string,in_title:boolean,row_text:string>>"
+def _part(ids: pa.Array, rows: list[int], links: list[dict]) -> pa.RecordBatch:
+    found = pa.RecordBatch.from_pylist(links, schema=_LINK)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *found.columns], names=["id", *_LINK.names])
 
 
-def _page_links(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for html, base in parts:
-        yield pd.Series([links_of(h, b) for h, b in zip(html, base, strict=True)], dtype=object)
+def _page_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages are taken out of a batch one at a time, and links go on in parts: Python objects don't grow with the batch."""
+    for batch in slices(batches):
+        ids, html, base = batch.columns
+        rows, links, chars = [], [], 0
+        for k in range(batch.num_rows):
+            for x in links_of(html[k].as_py(), base[k].as_py()):
+                rows.append(k)
+                links.append(x)
+                chars += len(x["href"]) + len(x["url"]) + len(x["text"]) + len(x["row_text"] or "")
+                if len(links) >= _PART_LINKS or chars >= _PART_CHARS:
+                    yield _part(ids, rows, links)
+                    rows, links, chars = [], [], 0
+        if links:
+            yield _part(ids, rows, links)
 
 
 def all_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """One row per link of a page: id, pos, href, absolute url, text, in_title, row_text."""
     ship(pages.sparkSession)
-    page_links = F.pandas_udf(_page_links, _LINKS)
-    return pages.select(id_col, F.explode(page_links(html_col, url_col)).alias("l")).select(id_col, "l.*")
+    slim = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), F.col(url_col).alias("base"))
+    kind = slim.schema["id"].dataType.simpleString()
+    out = slim.mapInArrow(_page_links, f"id {kind}, pos int, href string, url string, text string, in_title boolean, row_text string")
+    return out.select(F.col("id").alias(id_col), *_LINK.names)
 
 
 def latest_listing(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", prefix: str = S.LISTING_LINK_PREFIX) -> DataFrame:

@@ -1,9 +1,11 @@
 import datetime as dt
 import json
 import re
+import tracemalloc
 import zipfile
 from xml.etree import ElementTree
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +214,25 @@ def test_listing(spark):
     assert [r["file_name"] for r in api.run_scraper(pages, notices(spark, [])).collect()] == ["Kenya_Gazette_Vol__CXXVII_No__225_Dated_2025-11-07.pdf"]
 
 
+def test_links_are_read_in_little_memory(spark):
+    """Links of a row share its text, and a batch's links leave in parts; none is lost."""
+    n, cell = 2000, "word " * 4000
+    html = "<table><tr>" + "<td class='cell-title'><a href='/x'>x</a></td>" * n + f"<td>{cell}</td></tr></table>"
+    tracemalloc.start()
+    found = list(listings.links_of(html))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x["row_text"] for x in found] == [cell.strip()] * n
+    assert peak < 10_000_000  # 2,000 copies of the row's text are 40 MB
+    batch = pa.RecordBatch.from_pydict({"id": [7, 8, 9], "html": [html, None, "<a href='y'>z</a>"], "base": ["https://e.org/", None, None]})
+    parts = list(listings._page_links(iter([batch])))
+    assert max(p.nbytes for p in parts) < 2_000_000
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert [(r["id"], r["pos"], r["url"]) for r in rows] == [(7, i, "https://e.org/x") for i in range(n)] + [(9, 0, "y")]
+    pages = spark.createDataFrame([("k", html, "https://e.org/")], "url string, html string, base string")
+    assert listings.all_links(pages, "url", "html", "base").toDF("k", *"phutir").agg(F.count("*"), F.sum(F.length("r"))).first() == (n, n * len(cell.strip()))
+
+
 def test_report_and_files(spark, tmp_path):
     n = notices(spark, [{"id": 1, "content": "a\n\"b\",c", "gazette_date": dt.date(2024, 1, 2)}, {"id": 2}])
     assert export.report(n).columns == list(export.HEADERS)
